@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text that are split into words at a time.
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,7 +59,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     Null texts have no words.
     """
     n = len(texts)
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    # a copy without an offset: the string kernels misplace the bytes of some slices
+    texts = pc.fill_null(texts.cast(pa.large_string()), "").filter(pa.array(np.ones(n, bool)))
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     values, parents = lists.flatten(), pc.list_parent_indices(lists)
     full = pc.greater(pc.binary_length(values), 0)
@@ -78,6 +81,18 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     A text with fewer words than the width has its whole sequence as its one shingle; one
     without words has none.
     """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    if len(texts) > 1 and ends[-1] > SLICE_BYTES:  # few words are held as strings at a time
+        out, at = [], 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES)))
+            out += _shingle_sets(texts.slice(at, stop - at), width)
+            at = stop
+        return out
+    return _shingle_sets(texts, width)
+
+
+def _shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     words, offsets = word_hashes(texts)
     rolled = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for j in range(width):

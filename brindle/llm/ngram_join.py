@@ -55,13 +55,12 @@ class Levels:
         if level not in self._parts:
             high, low = self.bounds[level + 1] - 1, self.bounds[max(0, level - 1)]
             differ = 2 * high * (100 - self.percent) // (100 + self.percent)
-            fewest = 3 if low >= 100 else 2 if low >= 40 else 1
+            fewest = 2 if low >= 16 else 1
             k = differ + 1
-            for _ in range(12):
+            for _ in range(20):
                 mean = low / k
-                weak = math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(fewest))
-                allowed = math.ceil(1.35 * weak * k) + 2
-                k = differ + 1 + min(allowed, 3 * differ + 3)
+                weak = k * math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(fewest))
+                k = differ + 1 + min(math.ceil(weak + 2.5 * math.sqrt(weak)), differ + 1)
             self._parts[level] = (0, 0, 0, np.zeros(0, np.uint64)) if not differ else (
                 k, k - differ - 1, fewest, np.array([-(-(i << 64) // k) for i in range(k)], dtype=np.uint64)
             )
@@ -122,18 +121,17 @@ def join_sets(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tu
         tree.append([(below[i][0], below[min(len(below), i + FAN) - 1][1]) for i in range(0, len(below), FAN)])
         maps.append(np.array([maps[-1][i : i + FAN].any(axis=0) for i in range(0, len(below), FAN)]))
 
-    dense: dict[int, np.ndarray] = {}
+    held = [np.unique(token[start[a] : start[b]]) for a, b in tree[0]]
 
-    def leaf(i: int) -> np.ndarray:
-        """Token incidence of a leaf's sets; few are held at a time."""
-        if i not in dense:
-            if len(dense) * LEAF * vocabulary > 24_000_000:
-                dense.clear()
-            a, b = tree[0][i]
-            x = np.zeros((b - a, vocabulary), np.float32)
-            x[owner[start[a] : start[b]] - a, token[start[a] : start[b]]] = 1
-            dense[i] = x
-        return dense[i]
+    def incidence(i: int, columns: np.ndarray) -> np.ndarray:
+        """Which of a leaf's sets hold which of the tokens."""
+        a, b = tree[0][i]
+        own, row = token[start[a] : start[b]], owner[start[a] : start[b]] - a
+        at = np.minimum(np.searchsorted(columns, own), len(columns) - 1)
+        fit = columns[at] == own
+        x = np.zeros((b - a, len(columns)), np.float32)
+        x[row[fit], at[fit]] = 1
+        return x
 
     stack = [(len(tree) - 1, 0, 0)]
     while stack:
@@ -150,9 +148,10 @@ def join_sets(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tu
             # nearest sizes last, so that they are taken first and later pairs are one component
             stack += [(height - 1, x, y) for x in range(i * FAN, min(len(tree[height - 1]), i * FAN + FAN)) for y in range(max(x, j * FAN), min(len(tree[height - 1]), j * FAN + FAN))][::-1]
             continue
-        both = np.flatnonzero(maps[0][i] & maps[0][j]) if vocabulary <= bits else np.arange(vocabulary)
-        both = both[both < vocabulary]
-        overlap = leaf(i)[:, both] @ leaf(j)[:, both].T
+        both = held[i] if i == j else np.intersect1d(held[i], held[j], assume_unique=True)
+        if not len(both):
+            continue
+        overlap = incidence(i, both) @ incidence(j, both).T
         linked = (100 + percent) * overlap.astype(np.int64) >= percent * (sizes[a:b, None] + sizes[None, c:d])
         linked &= (side[a:b, None] == 2) | (side[a:b, None] != side[None, c:d])
         for x in np.flatnonzero(linked.any(axis=1)):
@@ -276,7 +275,7 @@ def _links(sets: DataFrame, percent: int, bound: int) -> DataFrame:
     return dealt.groupBy("cluster", "a", "x", "b", "y").applyInPandas(per_group, "src long, dst long")
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, bound: int = 4_000_000) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, bound: int = 1_500_000) -> DataFrame:
     """One row per row of docs: (doc_id, n_shingles, component_id).
 
     Two rows link when 100 * |A & B| >= percent * |A | B| for their sets of width-word shingles;
@@ -292,8 +291,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     per_doc = cut(_classes(rows, width))
     classes = per_doc.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("id"), F.first("n").alias("n"))
     total = per_doc.agg(F.sum("n")).first()[0] or 0
-    spark = docs.sparkSession
-    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 0.5 / 1_500_000))
+    # by volume alone: each piece returns a forest, and more pieces than memory asks for only repeat its edges
+    pieces = max(8, math.ceil(total * 0.5 / 1_500_000))
     edges = _candidate_edges(rows, width, percent, pieces)
     clusters = components(edges).select(F.col("node").alias("h1"), F.col("comp").alias("cluster"))
     taking_part = cut(classes.join(clusters, "h1").where("id is not null"))
