@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contaminated
+from .embedding_dedup import embedding_components
+from .mixing import mix
 from .ngram_join import ngram_components
+from .quality import score_quality
+from .token_store import read_shards, write_shards
+from .url_rules import PAGE_RULES, judge_urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -14,8 +20,108 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
-QUERIES["op8_ngram_jaccard_join"] = op8_ngram_jaccard_join
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "mix_source", "mix_weight", "mix_block", "mix_slot", "mix_offset")
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_shards(write_shards(_table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2))
+
+
+for _query in (op1_benchmark_decontamination, op2_quality_classifier, op4_url_filters, op5_embedding_near_dedup, op8_ngram_jaccard_join, op9_source_mixing, op10_token_output):
+    QUERIES[_query.__name__] = _query
+
+
+def _page_rules_sql() -> str:
+    rows = ", ".join(f"({i}, '{r.name}', '{r.verdict}', '{r.pattern}')" for i, r in enumerate(PAGE_RULES))
+    return f"(VALUES {rows}) AS p(turn, name, verdict, pattern)"
+
+
+ORACLES["op4_url_filters"] = f"""
+WITH parts AS (
+  SELECT page_id,
+    CASE WHEN strpos(url, '://') > 0 THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages
+), site(rule, h, p, verdict) AS (VALUES
+  ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+  ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')
+), sited AS (
+  SELECT *, (SELECT s.rule FROM site s WHERE (parts.host = s.h OR ends_with(parts.host, '.' || s.h)) AND starts_with(parts.path, s.p)
+    ORDER BY length(s.rule) DESC LIMIT 1) AS rule
+  FROM parts
+), judged AS (
+  SELECT *, CASE WHEN rule IS NULL THEN (SELECT p.name FROM {_page_rules_sql()} WHERE regexp_matches(sited.host || sited.path, p.pattern)
+    ORDER BY p.turn LIMIT 1) END AS pattern
+  FROM sited
+)
+SELECT page_id, host, path, rule,
+  coalesce((SELECT s.verdict FROM site s WHERE s.rule = judged.rule),
+           (SELECT p.verdict FROM {_page_rules_sql()} WHERE p.name = judged.pattern), 'allow') AS verdict,
+  pattern
+FROM judged
+"""
+
+ORACLES["op5_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(x, y) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.x = v.vec_id) AS n_links,
+  (SELECT min(r.y) FROM reach r WHERE r.x = v.vec_id) AS component_id,
+  (SELECT min(r.y) FROM reach r WHERE r.x = v.vec_id) = v.vec_id AS kept
+FROM v
+"""
+
+ORACLES["op8_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(list_slice(ws, i, i + 3), ' '))) END AS s
+  FROM w
+), sized AS (SELECT doc_id, len(s) AS n, s FROM sets), tokens AS (SELECT doc_id, n, unnest(s) AS t FROM sized),
+shared AS (SELECT * FROM tokens WHERE t IN (SELECT t FROM tokens GROUP BY t HAVING count(*) > 1)),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shared a JOIN shared b ON a.t = b.t AND a.doc_id <> b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach(x, y) AS (SELECT doc_id, doc_id FROM sized UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT s.doc_id, s.n AS n_shingles, min(r.y) AS component_id FROM sized s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.n
+"""
