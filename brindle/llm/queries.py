@@ -8,6 +8,7 @@ from .decontaminate import contaminated
 from .embedding_dedup import embedding_components
 from .mixing import mix
 from .ngram_join import ngram_components
+from .page_text import extract_text
 from .quality import score_quality
 from .token_store import read_shards, write_shards
 from .url_rules import PAGE_RULES, judge_urls
@@ -34,6 +35,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -55,7 +60,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(_table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2))
 
 
-for _query in (op1_benchmark_decontamination, op2_quality_classifier, op4_url_filters, op5_embedding_near_dedup, op8_ngram_jaccard_join, op9_source_mixing, op10_token_output):
+for _query in (op1_benchmark_decontamination, op2_quality_classifier, op3_html_extraction, op4_url_filters, op5_embedding_near_dedup, op8_ngram_jaccard_join, op9_source_mixing, op10_token_output):
     QUERIES[_query.__name__] = _query
 
 

@@ -62,8 +62,8 @@ SITE_RULES = (
 #: Pages without an article to read, and trades that a corpus is better without.
 PAGE_RULES = tuple(
     [token_rule("block", t, "path") for t in ("login", "signin", "signup", "logout", "cart", "checkout", "captcha", "unsubscribe", "cgi")]
-    + [token_rule("block", t, "host") for t in ("adserver", "doubleclick", "tracker")]
-    + [token_rule("block", t) for t in ("casino", "porn", "xxx", "viagra", "warez")]
+    + [token_rule("block", t, "host") for t in ("adserver", "ads", "adult", "bets", "doubleclick", "pills", "spam", "track", "tracker")]
+    + [token_rule("block", t) for t in ("casino", "porn", "viagra", "warez", "xxx")]
 )
 
 
