@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contaminated
 from .embedding_dedup import embedding_components
+from .line_dedup import line_components
 from .mixing import mix
 from .ngram_join import ngram_components
 from .page_text import extract_text
 from .quality import score_quality
+from .secret_scan import scan_secrets
 from .token_store import read_shards, write_shards
 from .url_rules import PAGE_RULES, judge_urls
 
@@ -47,6 +49,14 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_components(_table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -60,7 +70,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(_table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2))
 
 
-for _query in (op1_benchmark_decontamination, op2_quality_classifier, op3_html_extraction, op4_url_filters, op5_embedding_near_dedup, op8_ngram_jaccard_join, op9_source_mixing, op10_token_output):
+for _query in (op1_benchmark_decontamination, op2_quality_classifier, op3_html_extraction, op4_url_filters, op5_embedding_near_dedup, op6_line_dedup, op7_secret_scans, op8_ngram_jaccard_join, op9_source_mixing, op10_token_output):
     QUERIES[_query.__name__] = _query
 
 
