@@ -1,7 +1,299 @@
-"""Queries."""
+"""Queries over events: sentences' sentiment, prices around filings, macro figures and portfolios.
+
+Roles of the columns: the user is a document or ticker, the type of an event its class, the number in props
+its topic, and the value a probability or price.
+"""
 
 from __future__ import annotations
 
-from .registry import Registry
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import stats
+from ..operators import fundamentals, joins, portfolio, sentiment
+from .registry import Registry, table
 
 REGISTRY = Registry()
+
+_SENT = """sent AS (SELECT user_id AS doc_id, (props::JSON->>'k')::INT % 13 - 1 AS topic, CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 1 ELSE 2 END AS cls, value / 500.0 AS p FROM events)"""
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cls = F.when(F.col("event_type") == "error", 0).when(F.col("event_type").isin("view", "click"), 1).otherwise(2)
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("doc_id"), (F.get_json_object("props", "$.k").cast("int") % 13 - 1).alias("topic"), cls.alias("sentiment_class"), (F.col("value") / 500.0).alias("sentiment_prob"),
+    )
+
+
+def _measure_sql(topic: bool) -> dict[str, str]:
+    pos, neg, n = "count(*) FILTER (cls = 2)", "count(*) FILTER (cls = 0)", "count(*)"
+    total = f"({n} + 1e-5)" if topic else f"{n}::DOUBLE"
+    signed = "CASE cls WHEN 2 THEN p WHEN 0 THEN -p ELSE 0 END"
+    return {
+        "basic": "avg(cls)", "azimi": f"({pos} / {total}) / ({neg} / {total} + 1e-5)", "huang": f"{pos} / {total} - {neg} / {total}", "zhang": f"{pos} / ({pos} + {neg} + 1e-5)", "gupta_a": f"({pos} - {neg})::DOUBLE",
+        "gupta_b": f"{pos} / ({n} + 1e-5)", "gupta_c": f"({pos} - {neg}) / ({n} + 1e-5)", "renault": f"avg({signed})", "vamossy": f"sum({signed}) / (1 + sum(p) + 1e-5)",
+    }
+
+
+_ALL_DOC = ", ".join(f"round({sql}, 8) AS {m}" for m, sql in _measure_sql(False).items())
+_ALL_TOPIC = ", ".join(f"round({sql}, 8) AS {m}" for m, sql in _measure_sql(True).items())
+
+
+def _rounded(df: DataFrame, digits: int = 8) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c, kind in df.dtypes if kind == "double"})
+
+
+@REGISTRY.add(f"WITH {_SENT} SELECT doc_id, {_ALL_DOC} FROM sent GROUP BY doc_id")
+def sentiment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(sentiment.document_sentiment(_sentences(spark, sf_dir)))
+
+
+@REGISTRY.add(f"WITH {_SENT} SELECT doc_id, topic, {_ALL_TOPIC} FROM sent GROUP BY doc_id, topic")
+def sentiment_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(sentiment.topic_sentiment(_sentences(spark, sf_dir)))
+
+
+@REGISTRY.add(f"WITH {_SENT} SELECT doc_id, {_ALL_DOC} FROM sent WHERE cls <> 1 GROUP BY doc_id")
+def sentiment_without_neutral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(sentiment.document_sentiment(_sentences(spark, sf_dir), neutral=False))
+
+
+def _features_query(method: str):
+    doc, topic = _measure_sql(False)[method], _measure_sql(True)[method]
+    wide = ", ".join(f"max(v) FILTER (topic = {t}) AS \"mean_sentiment_topic_{t}\"" for t in sentiment.TOPICS)
+    sql = f"""WITH {_SENT}, d AS (SELECT doc_id, round({doc}, 8) AS mean_sentiment FROM sent GROUP BY doc_id), t AS (SELECT doc_id, topic, round({topic}, 8) AS v FROM sent GROUP BY doc_id, topic),
+    w AS (SELECT doc_id, {wide} FROM t GROUP BY doc_id) SELECT * FROM d JOIN w USING (doc_id)"""
+
+    @REGISTRY.add(sql, name=f"sentiment_{method}")
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rounded(sentiment.sentiment_features(_sentences(spark, sf_dir), method))
+
+    return query
+
+
+for _method in sentiment.METHODS:
+    _features_query(_method)
+
+
+@REGISTRY.add(f"WITH {_SENT} SELECT doc_id, topic, round({_measure_sql(True)['renault']}, 8) AS score FROM sent GROUP BY doc_id, topic")
+def sentiment_topic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(sentiment.topic_scores(sentiment.sentiment_features(_sentences(spark, sf_dir), "renault")))
+
+
+_RATIOS = ", ".join(
+    [f"count(*) FILTER (cls = {c}) / count(*) AS ratio_sentiment_{c}" for c in range(3)] + [f"count(*) FILTER (topic % 3 = {c}) / count(*) AS ratio_fls_{c}" for c in range(3)]
+    + [f"count(*) FILTER (cls = {a} AND topic % 3 = {b}) / count(*) AS ratio_sentiment_{a}_fls_{b}" for a in range(3) for b in range(3)]
+)
+
+
+@REGISTRY.add(f"WITH {_SENT} SELECT doc_id, {_RATIOS} FROM sent GROUP BY doc_id")
+def sentiment_class_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentiment.class_ratios(_sentences(spark, sf_dir).withColumn("fls_class", F.col("topic") % 3))
+
+
+@REGISTRY.add(
+    f"""WITH {_SENT}, f AS (SELECT doc_id, round(avg(cls), 8) AS mean_sentiment FROM sent GROUP BY doc_id),
+    m AS (SELECT doc_id, doc_id % 40 AS cik, 2000 + doc_id % 5 AS year_of_report FROM f), j AS (SELECT f.doc_id, mean_sentiment, 'T' || (cik % 17) AS ticker, year_of_report::INT AS year_of_report FROM f JOIN m USING (doc_id) WHERE cik < 35
+      UNION ALL SELECT f.doc_id, mean_sentiment, NULL, year_of_report::INT FROM f JOIN m USING (doc_id) WHERE cik >= 35),
+    r AS (SELECT *, row_number() OVER (PARTITION BY ticker, year_of_report ORDER BY doc_id) AS r FROM j) SELECT doc_id, mean_sentiment, ticker, year_of_report FROM r WHERE r = 1"""
+)
+def sentiment_with_company(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _rounded(sentiment.document_sentiment(_sentences(spark, sf_dir), methods=("basic",)).withColumnRenamed("basic", "mean_sentiment"))
+    filings = f.select("doc_id", (F.col("doc_id") % 40).alias("cik"), F.lit("20240105").alias("filing_date"), (2000 + F.col("doc_id") % 5).cast("string").alias("year_of_report"), F.lit(0).alias("pos"))
+    companies = spark.range(0, 70).select((F.col("id") % 35).alias("cik"), F.when(F.col("id") < 35, F.lit("old")).otherwise(F.concat(F.lit("T"), (F.col("id") % 35 % 17).cast("string"))).alias("ticker"), F.col("id").alias("pos"))
+    return sentiment.with_company(f, filings, companies, keep_date=False).select("doc_id", "mean_sentiment", "ticker", "year_of_report")
+
+
+@REGISTRY.add(
+    """WITH c AS (SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n FROM conversations)
+    SELECT conv_id, count(*) AS num_sentences, sum(n)::BIGINT AS num_words, sum(n) / count(*)::DOUBLE AS avg_sentence_length, stddev_pop(n) AS std_sentence_length,
+    CASE WHEN count(*) FILTER (turn % 3 = 0) > 0 THEN count(*) FILTER (turn % 3 = 0) / count(*)::DOUBLE END AS topic_ratio_0, CASE WHEN count(*) FILTER (turn % 3 = 1) > 0 THEN count(*) FILTER (turn % 3 = 1) / count(*)::DOUBLE END AS topic_ratio_1
+    FROM c GROUP BY conv_id"""
+)
+def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentiment.text_stats(table(spark, sf_dir, "conversations").withColumn("topic", F.col("turn") % 3), "conv_id", "text", "topic", (0, 1))
+
+
+# prices: the last value of a user's day; filings: the user's days of an error
+_PRICES = """prices AS (SELECT user_id AS ticker, ts::DATE AS date, max_by(value, (ts, event_id)) AS price, count(*)::DOUBLE AS volume FROM events GROUP BY user_id, ts::DATE),
+filed AS (SELECT user_id AS ticker, ts::DATE AS filing_date, (2024 + day(ts::DATE) % 3)::INT AS year FROM events WHERE event_type = 'error' GROUP BY ALL)"""
+
+
+def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("ticker"), F.col("ts").cast("date").alias("date"), "ts", "event_id", "value")
+    return rows.groupBy("ticker", "date").agg(F.max_by("value", F.struct("ts", "event_id")).alias("price"), F.count("*").cast("double").alias("volume"))
+
+
+def _filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("ticker"), F.col("ts").cast("date").alias("filing_date")).distinct()
+    return days.withColumn("year", (2024 + F.dayofmonth("filing_date") % 3).cast("int"))
+
+
+_WINDOW = f"""{_PRICES}, numbered AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM prices),
+marked AS (SELECT f.*, n AS at_n FROM filed f JOIN numbered p ON p.ticker = f.ticker AND p.date = f.filing_date)"""
+
+
+@REGISTRY.add(f"WITH {_WINDOW} SELECT m.ticker, m.filing_date, m.year, p.date, p.price, (p.n - m.at_n)::INT AS \"offset\" FROM marked m JOIN numbered p ON p.ticker = m.ticker AND p.n BETWEEN m.at_n - 3 AND m.at_n + 1")
+def event_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fundamentals.event_windows(_prices(spark, sf_dir), _filed(spark, sf_dir), 3, 1).select("ticker", "filing_date", "year", "date", "price", "offset")
+
+
+@REGISTRY.add(
+    f"""WITH {_WINDOW}, w AS (SELECT m.ticker, m.year, m.filing_date, p.date, p.price, p.volume, p.n - m.at_n AS o FROM marked m JOIN numbered p ON p.ticker = m.ticker AND p.n BETWEEN m.at_n - 8 AND m.at_n),
+    f AS (SELECT ticker, year, min(date) FILTER (o >= -3) AS a1, max(date) FILTER (o >= -3) AS a2, min(date) FILTER (o <= -3) AS b1, max(date) FILTER (o <= -3) AS b2, var_samp(price) FILTER (o <= -3) / avg(price) FILTER (o <= -3) AS volatility, avg(volume) AS mean_volume FROM w GROUP BY ticker, year)
+    SELECT f.ticker, f.year, round((p2.price - p1.price) / p1.price, 8) AS short_term_price_reversal, round((q2.price - q1.price) / q1.price, 8) AS medium_term_price_momentum, round(volatility, 8) AS volatility, round(mean_volume, 8) AS mean_volume
+    FROM f JOIN prices p1 ON p1.ticker = f.ticker AND p1.date = a1 JOIN prices p2 ON p2.ticker = f.ticker AND p2.date = a2 JOIN prices q1 ON q1.ticker = f.ticker AND q1.date = b1 JOIN prices q2 ON q2.ticker = f.ticker AND q2.date = b2
+    WHERE volatility IS NOT NULL"""
+)
+def event_window_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(fundamentals.stock_features(_prices(spark, sf_dir), _filed(spark, sf_dir), 3, 8))
+
+
+@REGISTRY.add(
+    f"""WITH {_PRICES}, r AS (SELECT ticker, date, price, volume, price / lag(price) OVER (PARTITION BY ticker ORDER BY date) - 1 AS change FROM prices), k AS (SELECT * FROM r WHERE price > 0 AND volume > 0),
+    q AS (SELECT quantile_cont(change, 0.01) AS lo, quantile_cont(change, 0.99) AS hi FROM k) SELECT ticker, date, round(greatest(least(change, hi), lo), 8) AS change FROM k, q WHERE change IS NOT NULL"""
+)
+def winsorized_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = portfolio.daily_returns(_prices(spark, sf_dir)).withColumnRenamed("daily_return", "change").where("change is not null")
+    return _rounded(fundamentals.winsorize(r).select("ticker", "date", "change"))
+
+
+_MACRO = """macro AS (SELECT date, last_value(click IGNORE NULLS) OVER w AS click, last_value(purchase IGNORE NULLS) OVER w AS purchase FROM (
+  SELECT ts::DATE AS date, avg(value) FILTER (event_type = 'click') AS click, avg(value) FILTER (event_type = 'purchase' AND day(ts::DATE) % 4 <> 0) AS purchase FROM events WHERE day(ts::DATE) % 2 = 1 OR event_type = 'click' GROUP BY 1)
+  WINDOW w AS (ORDER BY date)),
+filed2 AS (SELECT DISTINCT user_id AS ticker, ts::DATE AS period_of_report FROM events WHERE event_type = 'purchase')"""
+
+
+def _macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("date", F.col("ts").cast("date"))
+    kept = e.where((F.dayofmonth("date") % 2 == 1) | (F.col("event_type") == "click")).where(F.col("event_type").isin("click", "purchase"))
+    kept = kept.where((F.col("event_type") == "click") | (F.dayofmonth("date") % 4 != 0))
+    means = kept.groupBy("date", F.col("event_type").alias("indicator")).agg(F.avg("value").alias("value"))
+    return fundamentals.macro_wide(means, ["click", "purchase"])
+
+
+def _filed2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("ticker"), F.col("ts").cast("date").alias("period_of_report")).distinct()
+
+
+@REGISTRY.add(f"WITH {_MACRO} SELECT f.ticker, f.period_of_report, round(m.click, 8) AS click_last, round(m.purchase, 8) AS purchase_last FROM filed2 f ASOF LEFT JOIN macro m ON f.period_of_report >= m.date")
+def macro_asof_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(fundamentals.macro_last(_filed2(spark, sf_dir), _macro(spark, sf_dir), ["click", "purchase"]))
+
+
+@REGISTRY.add(f"WITH {_MACRO} SELECT f.ticker, f.period_of_report, round(avg(m.click), 8) AS click_mean, round(avg(m.purchase), 8) AS purchase_mean FROM filed2 f LEFT JOIN macro m ON m.date BETWEEN f.period_of_report - INTERVAL 5 DAY AND f.period_of_report GROUP BY ALL")
+def macro_window_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _filed2(spark, sf_dir).withColumn("previous_period", F.date_sub("period_of_report", 5))
+    return _rounded(fundamentals.macro_mean(f, _macro(spark, sf_dir), ["click", "purchase"]).select("ticker", "period_of_report", "click_mean", "purchase_mean"))
+
+
+@REGISTRY.add(
+    f"""WITH {_PRICES}, y AS (SELECT ticker, day(date)::INT AS year, CASE WHEN day(date) % 5 = 0 THEN NULL ELSE price END AS v FROM prices), k AS (SELECT ticker, year, last_value(v IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY year) AS v FROM y)
+    SELECT ticker, year, round(100 * (v / nullif(lag(v) OVER (PARTITION BY ticker ORDER BY year), 0) - 1), 8) AS v_change FROM k"""
+)
+def macro_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = _prices(spark, sf_dir).select("ticker", F.dayofmonth("date").alias("year"), F.when(F.dayofmonth("date") % 5 != 0, F.col("price")).alias("v"))
+    return _rounded(fundamentals.growth(y, ["v"]).select("ticker", "year", "v_change"))
+
+
+@REGISTRY.add(
+    """WITH p AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts, value AS seen FROM events WHERE event_type = 'view')
+    SELECT p.user_id, p.event_id, p.value, v.seen FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts"""
+)
+def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    views = e.where("event_type = 'view'").select("user_id", "ts", F.col("value").alias("seen"))
+    return joins.asof(e.where("event_type = 'purchase'").select("user_id", "ts", "event_id", "value"), views, "ts", "ts", ["seen"], ["user_id"]).drop("ts")
+
+
+@REGISTRY.add(
+    f"""WITH {_PRICES} SELECT f.ticker, f.filing_date, count(*) AS n, round(avg(p.price), 8) AS mean_price FROM filed f JOIN prices p ON p.ticker = f.ticker AND p.date BETWEEN f.filing_date - INTERVAL 4 DAY AND f.filing_date + INTERVAL 2 DAY GROUP BY ALL"""
+)
+def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = joins.within_interval(_filed(spark, sf_dir), _prices(spark, sf_dir), F.date_sub("filing_date", 4), F.date_add("filing_date", 2), "date", ["ticker"], 7)
+    return _rounded(got.groupBy("ticker", "filing_date").agg(F.count("*").alias("n"), F.avg("price").alias("mean_price")))
+
+
+# portfolios: positions by a user's purchases, held for some days after
+_RETURNS = f"""{_PRICES}, daily AS (SELECT ticker, date, price / lag(price) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM prices),
+market AS (SELECT date, lv / lag(lv) OVER (ORDER BY date) - 1 AS m FROM (SELECT date, avg(price) AS lv FROM prices GROUP BY date)),
+held AS (SELECT DISTINCT user_id AS ticker, day(ts::DATE)::INT % 4 AS year, (DATE '2024-01-02' + (day(ts::DATE)::INT % 4) * 6) AS start_date, (DATE '2024-01-08' + (day(ts::DATE)::INT % 4) * 6) AS end_date, user_id % 10 / 10.0 AS prob, (user_id % 7 * 100)::DOUBLE AS market_cap FROM events WHERE event_type = 'purchase'),
+ret AS (SELECT h.ticker, h.year, prob, market_cap, count(*) AS trading_days, product(1 + r) - 1 AS stock_return, product(1 + m) - 1 AS market_return FROM held h JOIN daily d ON d.ticker = h.ticker AND d.date >= start_date AND d.date < end_date JOIN market k USING (date) GROUP BY ALL HAVING count(*) >= 3),
+base AS (SELECT *, stock_return - market_return AS excess_return, CASE WHEN prob <= 0.4 THEN 0 WHEN prob >= 0.6 THEN 1 ELSE -1 END AS position FROM ret)"""
+
+
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = _prices(spark, sf_dir)
+    market = portfolio.market_returns(prices.groupBy("date").agg(F.avg("price").alias("price")))
+    day = F.dayofmonth(F.col("ts").cast("date")) % 4
+    held = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("ticker"), day.alias("year")).distinct()
+    at = lambda first: F.date_add(F.lit(first).cast("date"), F.col("year") * 6)
+    held = held.withColumns({"start_date": at("2024-01-02"), "end_date": at("2024-01-08"), "prob": F.col("ticker") % 10 / 10.0, "market_cap": (F.col("ticker") % 7 * 100).cast("double")})
+    return portfolio.with_positions(portfolio.cumulative_returns(held, portfolio.daily_returns(prices), market, 3), 0.6, 0.4)
+
+
+@REGISTRY.add(f"WITH {_RETURNS} SELECT ticker, year, trading_days, round(stock_return, 8) AS stock_return, round(market_return, 8) AS market_return, round(excess_return, 8) AS excess_return, position FROM base")
+def cumulative_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_base(spark, sf_dir).select("ticker", "year", "trading_days", "stock_return", "market_return", "excess_return", "position"))
+
+
+@REGISTRY.add(
+    f"""WITH {_RETURNS}, l AS (SELECT * FROM base WHERE position = 1), s AS (SELECT * FROM base WHERE position = 0), a AS (SELECT avg(excess_return) AS m, var_samp(excess_return) AS v, count(*) AS n FROM l), b AS (SELECT avg(excess_return) AS m, var_samp(excess_return) AS v, count(*) AS n FROM s)
+    SELECT a.n AS n_long, b.n AS n_short, round(a.m, 8) AS long_mean, round(b.m, 8) AS short_mean, round(a.m - b.m, 8) AS hedge_return, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t,
+    round(pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)), 6) AS df FROM a, b"""
+)
+def hedge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(portfolio.hedge_summary(_base(spark, sf_dir)).select("n_long", "n_short", "long_mean", "short_mean", "hedge_return", F.round("t", 6).alias("t"), F.round("df", 6).alias("df")))
+
+
+@REGISTRY.add(
+    f"""WITH {_RETURNS}, k AS (SELECT * FROM base WHERE position IN (0, 1) AND market_cap > 0) SELECT count(*) FILTER (position = 1) AS n_long, count(*) FILTER (position = 0) AS n_short,
+    round(sum(excess_return * market_cap) FILTER (position = 1) / sum(market_cap) FILTER (position = 1), 8) AS long_mean, round(sum(excess_return * market_cap) FILTER (position = 0) / sum(market_cap) FILTER (position = 0), 8) AS short_mean FROM k"""
+)
+def hedge_summary_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(portfolio.hedge_summary(_base(spark, sf_dir), weighted=True).select("n_long", "n_short", "long_mean", "short_mean"))
+
+
+@REGISTRY.add(
+    f"""WITH {_RETURNS} SELECT year, round(avg(excess_return) FILTER (position = 1) - avg(excess_return) FILTER (position = 0), 8) AS hedge_return FROM base WHERE position IN (0, 1) GROUP BY year HAVING count(DISTINCT position) = 2"""
+)
+def hedge_yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(portfolio.hedge_by_year(_base(spark, sf_dir)))
+
+
+@REGISTRY.add(
+    f"""WITH {_RETURNS} SELECT year, round(avg(market_return), 8) AS market_mean, round(avg(stock_return), 8) AS stock_mean, round(sum(stock_return * market_cap) FILTER (market_cap > 0) / sum(market_cap) FILTER (market_cap > 0), 8) AS weighted_mean FROM base GROUP BY year"""
+)
+def yearly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(portfolio.yearly_means(_base(spark, sf_dir)))
+
+
+@REGISTRY.add()
+def welch_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.with_welch_p(portfolio.hedge_summary(_base(spark, sf_dir)))
+
+
+@REGISTRY.add()
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portfolio.bootstrap_hedge(_base(spark, sf_dir), rounds=200)
+
+
+@REGISTRY.add()
+def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portfolio.permutation_hedge(_base(spark, sf_dir), rounds=200)
+
+
+@REGISTRY.add(
+    f"""WITH {_RETURNS}, p AS (SELECT (position = 1)::INT AS y, (excess_return > 0)::INT AS t FROM base WHERE position IN (0, 1)) SELECT count(*) FILTER (y = 0 AND t = 0) AS tn, count(*) FILTER (y = 1 AND t = 0) AS fp, count(*) FILTER (y = 0 AND t = 1) AS fn, count(*) FILTER (y = 1 AND t = 1) AS tp FROM p"""
+)
+def position_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.confusion(_base(spark, sf_dir).where("position in (0, 1)"), F.col("position"), F.when(F.col("excess_return") > 0, 1).otherwise(0)).select("tn", "fp", "fn", "tp")
+
+
+@REGISTRY.add(
+    """WITH w AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT user_id, count(*) FILTER (before IS NULL OR ts - before > INTERVAL 6 HOUR) AS sessions FROM w GROUP BY user_id"""
+)
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").withColumn("before", F.lag("ts").over(order))
+    return e.groupBy("user_id").agg(F.count_if(F.col("before").isNull() | (F.col("ts") - F.col("before") > F.expr("interval 6 hours"))).alias("sessions"))
