@@ -1,7 +1,207 @@
-"""Queries."""
+"""Queries over numbers of lineitem, part and orders as features, and over labelled documents as models' rows."""
 
 from __future__ import annotations
 
-from .registry import Registry
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import stats
+from ..operators import models, prep
+from .registry import Registry, table
 
 REGISTRY = Registry()
+
+# rows: a part with numbers, some of them placeholders; its year is of its size
+_ROWS = """rows AS (SELECT p_partkey AS id, 2000 + p_size AS year, CASE WHEN p_partkey % 7 = 0 THEN -1.0 WHEN p_partkey % 11 = 0 THEN 999.0 ELSE p_retailprice END AS a, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size::DOUBLE END AS b,
+CASE WHEN p_partkey % 3 = 0 THEN 0.0 ELSE p_retailprice / p_size END AS c, (p_partkey % 4 = 0)::INT AS target FROM part)"""
+_COLUMNS = ["a", "b", "c"]
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, price, size = F.col("p_partkey"), F.col("p_retailprice"), F.col("p_size").cast("double")
+    return table(spark, sf_dir, "part").select(
+        k.alias("id"), (F.col("p_size") + 2000).alias("year"), F.when(k % 7 == 0, -1.0).when(k % 11 == 0, 999.0).otherwise(price).alias("a"), F.when(k % 5 != 0, size).alias("b"),
+        F.when(k % 3 == 0, 0.0).otherwise(price / size).alias("c"), F.when(k % 4 == 0, 1).otherwise(0).alias("target"),
+    )
+
+
+@REGISTRY.add(f"WITH {_ROWS} SELECT id, CASE WHEN a NOT IN (-1, 999, -999, 9999, -9999) THEN a END AS a, CASE WHEN b NOT IN (-1, 999, -999, 9999, -9999) THEN b END AS b, c FROM rows")
+def prep_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.placeholders_to_null(_rows(spark, sf_dir), _COLUMNS).select("id", *_COLUMNS)
+
+
+_CLIP = ", ".join(f"CASE WHEN {c} BETWEEN q.{c}1 - 1.5 * (q.{c}3 - q.{c}1) AND q.{c}3 + 1.5 * (q.{c}3 - q.{c}1) THEN {c} END AS {c}" for c in _COLUMNS)
+_QUART = ", ".join(f"quantile_cont({c}, 0.25) AS {c}1, quantile_cont({c}, 0.75) AS {c}3" for c in _COLUMNS)
+
+
+@REGISTRY.add(f"WITH {_ROWS}, q AS (SELECT {_QUART} FROM rows WHERE year < 2030) SELECT id, {_CLIP} FROM rows, q WHERE year >= 2030")
+def prep_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = prep.split_by_year(_rows(spark, sf_dir), 2030)
+    return prep.outliers_to_null(test, _COLUMNS, train).select("id", *_COLUMNS)
+
+
+_BAD = " + ".join(f"(CASE WHEN {c} IS NULL OR {c} IN (0, -1) THEN 1 ELSE 0 END)" for c in _COLUMNS)
+
+
+@REGISTRY.add(f"WITH {_ROWS} SELECT id FROM rows WHERE ({_BAD}) / 3.0 < 0.6")
+def prep_problem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.drop_problem_rows(_rows(spark, sf_dir), _COLUMNS, 0.6).select("id")
+
+
+@REGISTRY.add(f"WITH {_ROWS} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", avg(CASE WHEN {c} IS NULL OR {c} IN (0, -1) THEN 1.0 ELSE 0.0 END) AS share FROM rows" for c in _COLUMNS))
+def prep_problem_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.problem_shares(_rows(spark, sf_dir), _COLUMNS)
+
+
+_SCALE = ", ".join(f"round(({c} - m.{c}m) / m.{c}s, 8) AS {c}" for c in _COLUMNS)
+
+
+@REGISTRY.add(f"WITH {_ROWS}, m AS (SELECT {', '.join(f'avg({c}) AS {c}m, stddev_pop({c}) AS {c}s' for c in _COLUMNS)} FROM rows WHERE year < 2030) SELECT id, {_SCALE} FROM rows, m WHERE year >= 2030")
+def prep_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = prep.split_by_year(_rows(spark, sf_dir), 2030)
+    return prep.scale(test, _COLUMNS, train).select("id", *(F.round(c, 8).alias(c) for c in _COLUMNS))
+
+
+@REGISTRY.add(f"WITH {_ROWS} SELECT CASE WHEN year < 2030 THEN 'train' ELSE 'test' END AS split, target, count(*) AS n FROM rows GROUP BY ALL")
+def prep_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = prep.split_by_year(_rows(spark, sf_dir), 2030)
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return both.groupBy("split", "target").agg(F.count("*").alias("n"))
+
+
+@REGISTRY.add(f"WITH {_ROWS} SELECT target, count(*) AS n, count(*) FILTER (b IS NULL) AS nulls, count(*) FILTER (a = 0) + count(*) FILTER (b = 0) + count(*) FILTER (c = 0) AS zeros FROM rows GROUP BY target")
+def prep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.class_report(_rows(spark, sf_dir), "target", _COLUMNS)
+
+
+@REGISTRY.add(f"WITH {_ROWS}, m AS (SELECT max(n) AS m FROM (SELECT count(*) AS n FROM rows GROUP BY target)) SELECT target, m AS n, (SELECT count(*) FROM rows r WHERE r.target = t.target) AS distinct_rows FROM (SELECT DISTINCT target FROM rows) t, m")
+def oversample_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.oversample(_rows(spark, sf_dir), "target", "id").groupBy("target").agg(F.count("*").alias("n"), F.count_distinct("id").alias("distinct_rows"))
+
+
+@REGISTRY.add()
+def smote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir).fillna(0.0)
+    return prep.smote(rows, "target", 1, _COLUMNS, "id", need=500)
+
+
+@REGISTRY.add()
+def prep_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, test, columns = prep.Preparation(first_test_year=2030, columns=_COLUMNS).run(_rows(spark, sf_dir))
+    return test.select("id", "target", *columns)
+
+
+@REGISTRY.add()
+def prep_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, test, columns = prep.tree_preparation(first_test_year=2030, columns=_COLUMNS).run(_rows(spark, sf_dir))
+    return test.select("id", "target", *columns)
+
+
+@REGISTRY.add(
+    """WITH t AS (SELECT o_custkey AS ticker, year(o_orderdate)::INT AS year, count(*) AS target FROM orders GROUP BY ALL), b AS (SELECT ticker, year, target, year - 1 AS pred_year FROM t WHERE (ticker, year - 1) IN (SELECT (c_custkey, 1997 + c_nationkey % 3) FROM customer)),
+    f AS (SELECT b.ticker, b.pred_year, b.year, b.target, t.target AS km_n FROM b JOIN t ON t.ticker = b.ticker AND t.year = b.pred_year) SELECT f.ticker, f.pred_year, f.year, f.target, km_n, c_acctbal AS mean_sentiment FROM f LEFT JOIN customer ON c_custkey = ticker AND 1997 + c_nationkey % 3 = pred_year"""
+)
+def ml_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("ticker"), F.year(F.col("o_orderdate").cast("date")).alias("year")).agg(F.count("*").alias("target"))
+    text = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ticker"), (1997 + F.col("c_nationkey") % 3).alias("year_of_report"), F.col("c_acctbal").alias("mean_sentiment"))
+    return prep.datasets(prep.target_base(t, text), t.withColumnRenamed("target", "km_n"), text)["F2"].select("ticker", "pred_year", "year", "target", "km_n", "mean_sentiment")
+
+
+@REGISTRY.add("SELECT conv_id, list(CASE WHEN turn % 4 = 3 THEN 14 ELSE turn % 4 END ORDER BY turn)::BIGINT[] AS values FROM conversations GROUP BY conv_id")
+def value_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").withColumn("topic", F.when(F.col("turn") % 4 == 3, -1).otherwise(F.col("turn") % 4))
+    return prep.value_lists(rows, ["conv_id"], "topic", "turn").withColumn("values", F.col("values").cast("array<bigint>"))
+
+
+@REGISTRY.add("SELECT conv_id, turn, list_transform(range(0, 4), lambda i: (i = turn % 4)::INT) AS hot, list_slice([turn::INT, 7, 0, 0, 0], 1, 5) AS padded FROM conversations")
+def one_hot_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", prep.one_hot(F.col("turn") % 4, 4).alias("hot"), prep.padded(F.array(F.col("turn").cast("int"), F.lit(7)), 5).alias("padded"))
+
+
+@REGISTRY.add("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = prep.stratified_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id")
+    return got.groupBy("lang").agg(F.count("*").alias("n"))
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length(t).alias("f1"), (F.length(F.regexp_replace(t, "[^A-Z]", "")) / F.length(t)).alias("f2"), (F.length(F.regexp_replace(t, "[^#$%&*|!]", "")) / F.length(t)).alias("f3"))
+    return docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("target")), "doc_id")
+
+
+def _classified(spark: SparkSession, sf_dir: str, kind: str, **options) -> DataFrame:
+    marked = prep.stratified_split(_features(spark, sf_dir), "target", "doc_id")
+    train, test = (marked.where(F.col("split") == s).drop("split") for s in ("train", "test"))
+    return models.classify(kind, train, test, ["f1", "f2", "f3"], **options).select("doc_id", "target", "prob", "y_pred")
+
+
+@REGISTRY.add()
+def classify_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, "lr")
+
+
+@REGISTRY.add()
+def classify_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, "rf", numTrees=20)
+
+
+@REGISTRY.add()
+def classify_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, "gbt", maxIter=10)
+
+
+# scored: an order with a score of its own and whether it is finished
+_SCORED = "scored AS (SELECT o_orderkey AS id, (o_orderkey * 37 % 101) / 101.0 AS prob, (o_orderstatus = 'F')::INT AS label FROM orders)"
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 37 % 101 / F.lit(101.0)).alias("prob"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"))
+
+
+@REGISTRY.add(
+    f"""WITH {_SCORED}, p AS (SELECT *, (prob >= 0.5)::INT AS y FROM scored), c AS (SELECT count(*) FILTER (y = 0 AND label = 0) AS tn, count(*) FILTER (y = 1 AND label = 0) AS fp, count(*) FILTER (y = 0 AND label = 1) AS fn, count(*) FILTER (y = 1 AND label = 1) AS tp FROM p)
+    SELECT tn, fp, fn, tp, (tp + tn) / (tp + tn + fp + fn)::DOUBLE AS accuracy, tp / (tp + fp)::DOUBLE AS precision, tp / (tp + fn)::DOUBLE AS recall, 2 * tp / (2 * tp + fp + fn)::DOUBLE AS f1 FROM c"""
+)
+def metrics_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.confusion(_scored(spark, sf_dir), F.when(F.col("prob") >= 0.5, 1).otherwise(0), F.col("label"))
+
+
+@REGISTRY.add(
+    f"""WITH {_SCORED}, r AS (SELECT label, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2.0 AS r FROM scored), n AS (SELECT sum(label)::DOUBLE AS p, count(*) - sum(label)::DOUBLE AS q FROM scored)
+    SELECT round((sum(r) FILTER (label = 1) - p * (p + 1) / 2) / (p * q), 9) AS auc FROM r, n GROUP BY p, q"""
+)
+def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.roc_auc(_scored(spark, sf_dir)).select(F.round("auc", 9).alias("auc"))
+
+
+@REGISTRY.add(f"WITH {_SCORED} SELECT round(avg(CASE label WHEN 1 THEN -ln(greatest(prob, 1e-15)) ELSE -ln(1 - prob) END), 9) AS log_loss FROM scored")
+def log_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.log_loss(_scored(spark, sf_dir)).select(F.round("log_loss", 9).alias("log_loss"))
+
+
+_CURVE = f"""{_SCORED}, pts AS (SELECT prob AS threshold, sum(label) AS pos, count(*) AS n FROM scored GROUP BY prob), run AS (SELECT threshold, sum(pos) OVER w AS tp, sum(n) OVER w AS k, sum(pos) OVER () AS total FROM pts WINDOW w AS (ORDER BY threshold DESC)),
+curve AS (SELECT threshold, tp / k::DOUBLE AS precision, tp / total::DOUBLE AS recall FROM run), full_curve AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM curve)"""
+
+
+@REGISTRY.add(f"WITH {_CURVE} SELECT round(threshold, 9) AS threshold, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM full_curve")
+def pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.pr_curve(_scored(spark, sf_dir)).select(*(F.round(c, 9).alias(c) for c in ("threshold", "precision", "recall", "f1")))
+
+
+@REGISTRY.add(
+    f"""WITH {_CURVE}, l AS (SELECT *, coalesce(lag(recall) OVER w, 0) AS r0, coalesce(lag(precision) OVER w, 1) AS p0 FROM full_curve WINDOW w AS (ORDER BY threshold DESC))
+    SELECT round(max_by(threshold, (round(f1, 12), -threshold)), 9) AS best_threshold, round(max(f1), 9) AS best_f1, round(sum((recall - r0) * (precision + p0) / 2), 9) AS pr_auc FROM l"""
+)
+def pr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.pr_summary(_scored(spark, sf_dir)).select(*(F.round(c, 9).alias(c) for c in ("best_threshold", "best_f1", "pr_auc")))
+
+
+@REGISTRY.add(f"WITH {_SCORED} SELECT id, prob, label FROM scored WHERE prob < 0.4 OR prob > 0.6")
+def uncertainty_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.certain(_scored(spark, sf_dir)).select("id", "prob", "label")
+
+
+@REGISTRY.add()
+def bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.bootstrap_auc(_scored(spark, sf_dir), rounds=100)
