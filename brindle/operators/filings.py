@@ -40,10 +40,10 @@ def _section_bounds(two: Column, three: Column, seven: Column, eight: Column) ->
 
 def _offsets(text: Column, pattern: str) -> Column:
     """The offsets, from 0, of all matches of a pattern, by the lengths of what lies between them."""
-    hits = F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(.*?)({pattern})"), F.lit(1)), lambda p: F.length(p))
+    hits = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
     sizes = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda h: F.length(h))
     placed = F.aggregate(
-        F.zip_with(hits, sizes, lambda p, h: F.struct(p.alias("p"), h.alias("h"))),
+        F.zip_with(F.slice(hits, F.lit(1), F.size(sizes)), sizes, lambda p, h: F.struct(p.alias("p"), h.alias("h"))),
         F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")),
         lambda acc, x: F.struct((acc["n"] + x["p"] + x["h"]).alias("n"), F.concat(acc["at"], F.array(acc["n"] + x["p"])).alias("at")),
     )

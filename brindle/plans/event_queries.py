@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import fundamentals, joins, portfolio, sentiment
+from ..streaming.sentiment import windowed_sentiment
 from .registry import Registry, table
 
 REGISTRY = Registry()
@@ -297,3 +298,15 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").withColumn("before", F.lag("ts").over(order))
     return e.groupBy("user_id").agg(F.count_if(F.col("before").isNull() | (F.col("ts") - F.col("before") > F.expr("interval 6 hours"))).alias("sessions"))
+
+
+@REGISTRY.add(
+    f"""WITH s AS (SELECT user_id AS doc_id, ts::DATE AS day, CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 1 ELSE 2 END AS cls, value / 500.0 AS p FROM events)
+    SELECT doc_id, day, {_ALL_DOC} FROM s GROUP BY doc_id, day"""
+)
+def sentiment_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    cls = F.when(F.col("event_type") == "error", 0).when(F.col("event_type").isin("view", "click"), 1).otherwise(2)
+    rows = e.select(F.col("user_id").alias("doc_id"), "ts", cls.alias("sentiment_class"), (F.col("value") / 500.0).alias("sentiment_prob"))
+    got = windowed_sentiment(rows)
+    return _rounded(got.withColumn("day", F.col("start").cast("date")).drop("start", "end"))
