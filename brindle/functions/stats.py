@@ -32,7 +32,7 @@ def beta_share(a: float, b: float, x: float) -> float:
         f *= c * d
         if abs(1 - c * d) < 1e-15:
             break
-    return front * f
+    return front * (f - 1)
 
 
 def t_two_sided(t: float, df: float) -> float:
