@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from .common import Forest, components, cut
 
-SALTS = 16
-
 
 def usable(vector: Column) -> Column:
     """Whether a vector has only finite components, of which one isn't zero."""
@@ -91,9 +89,7 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     classes = cut(rows.where("ok").groupBy("label", "v", "h").agg(F.min("id").alias("id"), F.count("*").alias("m")))
     known = classes.where("id is not null").withColumn("dim", F.size("v"))
     blocks = known.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(group)).cast("int").alias("g"))
-    salt = F.array(*map(F.lit, range(SALTS)))
-    dealt = known.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(blocks.withColumn("salt", F.explode(salt)), ["label", "dim", "salt"])
-    dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("h"), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = known.join(blocks, ["label", "dim"]).withColumn("blk", F.pmod(F.xxhash64("h"), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     dealt = dealt.select("id", "h", "m", "v", "label", "dim", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") < F.col("other"), 0).otherwise(1).alias("side"))
 
     def per_pair(part: pd.DataFrame) -> pd.DataFrame:
@@ -110,8 +106,7 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     of_class = classes.join(counts, ["id", "h"], "left").join(comps, "id", "left").select(
         "label", "h", F.col("v").alias("cv"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("comp", "id").alias("comp")
     )
-    # a class may hold a third of all rows: its one row here meets them in many salted tasks
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(of_class.withColumn("salt", F.explode(salt)), ["label", "h", "salt"], "left").where("cv is null or cv = v")
+    # a class may hold a third of all rows and has one row here: adaptive execution splits the rows' side
+    joined = rows.join(of_class, ["label", "h"], "left").where("cv is null or cv = v")
     comp = F.coalesce("comp", "id")
     return joined.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(False)).alias("kept"))

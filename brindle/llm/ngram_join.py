@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, cut, mix64, shingle_sets
+from .common import Forest, components, cut, mix64, release_memory, shingle_sets, small_batches
 
 LEAF, FAN = 48, 8
 RESCUES = 3
@@ -205,6 +205,7 @@ def _candidate_edges(rows: DataFrame, width: int, percent: int, pieces: int) ->
                 pa.array([np.searchsorted(u, o).astype(np.uint32).tobytes() for (_, o), u in zip(each, used, strict=True)], pa.binary()),
                 pa.array([known[u].tobytes() for u in used], pa.binary()),
             ], ["piece", "sign", "owner", "known"])
+        release_memory()
 
     def forest(batch: pd.DataFrame) -> pd.DataFrame:
         sign, owner, known, base = [], [], [], 0
@@ -234,6 +235,8 @@ def _candidate_edges(rows: DataFrame, width: int, percent: int, pieces: int) ->
                 parent[max(rx, ry)] = min(rx, ry)
                 out.append((x, y))
         ends = np.array(out, np.uint64).reshape(-1, 2)
+        del sign, owner, known, order, parent
+        release_memory()
         return pd.DataFrame({"src": _as_long(ends[:, 0].copy()), "dst": _as_long(ends[:, 1].copy())})
 
     packed = rows.select("text").mapInArrow(pack, "piece int, sign binary, owner binary, known binary")
@@ -287,6 +290,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     (null where no row of the component has one). Other columns of docs are ignored, an empty
     table gives no rows. bound: tokens of a cluster beyond which it is joined by pairs of blocks.
     """
+    with small_batches(docs.sparkSession):
+        return _ngram_components(docs, id_col, text_col, width, percent, bound)
+
+
+def _ngram_components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, bound: int) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     per_doc = cut(_classes(rows, width))
     classes = per_doc.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("id"), F.first("n").alias("n"))

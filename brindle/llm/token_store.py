@@ -17,9 +17,11 @@ and nulls come first.
 from __future__ import annotations
 
 import bisect
+import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, release_memory, shared_dir, small_batches
 
 MAGIC = b"BRNDSST1"
 FOOTER = struct.Struct("<QQQQQQII8s")
@@ -177,34 +179,61 @@ class Encoder:
     """Token ids of many texts: white space only ever separates words here, so each word is encoded once."""
 
     def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores have tasks of their own, and threads hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.width = 2 if max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
+        self._forget()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool) if suffix else None
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix else ():
+            self.ends[i] = token.endswith(suffix)
+        probe = ["Abc.,Def, x.a1$Y", "abc .,def , x .a 1$y"]
+        self.plain = all("<|" in t.content for t in self.tokenizer.get_added_tokens_decoder().values()) and len({tuple(self.tokenizer.encode(t, add_special_tokens=False).ids) for t in probe}) == 1
+
+    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.start, self.flat = [0], []
+        self.start, self.flat = array("q", [0]), array("I")
 
     def _places(self, words: list[str]) -> np.ndarray:
         if len(self.known) + len(words) > KNOWN_WORDS:
-            self.known, self.start, self.flat = {}, [0], []
-        new = [w for w in words if w not in self.known]
-        for w, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = len(self.known)
-            self.flat += got.ids
-            self.start.append(len(self.flat))
-        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
+            self._forget()
+        known, new = self.known, [w for w in words if w not in self.known]
+        letters = [w for w in new if w.isalpha()] if self.ends is not None else []
+        parts = [letters[at : at + 500] for at in range(0, len(letters), 500)]
+        # each of these words is one piece of the tokenizer, whose last id tells
+        for part, got in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                known.update(zip(part, range(len(known), len(known) + len(part)), strict=True))
+                self.start.frombytes((ends + len(self.flat)).astype(np.int64).tobytes())
+                self.flat.frombytes(ids.tobytes())
+        new = [w for w in new if w not in known]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            for w, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = len(known)
+                self.flat.extend(got.ids)
+                self.start.append(len(self.flat))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text with the end id; a null text is an empty one."""
         n = len(texts)
         texts = pc.fill_null(texts.cast(pa.large_string()), "").filter(pa.array(np.ones(n, bool)))
+        # fewer words differ in lower case and without the signs after a letter, which the tokenizer
+        # lower-cases and splits off anyway; but its special tokens are looked for before that
+        if self.plain and not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([!-&(-@\[-`{-~])", r"\1 \2")
         lists = pc.ascii_split_whitespace(texts)
         values, parents = lists.flatten(), pc.list_parent_indices(lists)
         full = pc.greater(pc.binary_length(values), 0)
         values, parents = values.filter(full), parents.filter(full)
         coded = values.dictionary_encode()
         place = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(values) else np.zeros(0, np.int64)
-        start, flat = np.array(self.start, np.int64), np.array(self.flat, np.uint32)
+        start, flat = np.array(self.start, np.int64), np.array(self.flat, np.uint32)  # copies, as the buffers grow
         size = start[place + 1] - start[place]
         ends = np.cumsum(size)
         ids = flat[np.repeat(start[place] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
@@ -213,7 +242,7 @@ class Encoder:
         return [np.append(ids[a:b], np.uint32(self.end_id)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def _slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[pa.Array]:
+def _slices(texts: pa.Array, most: int = 6 << 20) -> Iterator[pa.Array]:
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
@@ -242,6 +271,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     shards = max(1, min(held["n"], -(-(held["b"] or 0) // shard_bytes)))
     bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards)).first()[0] or [])) if shards > 1 else []
 
+    width = Encoder(tokenizer_path, end_id).width
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, cuts, squeeze = Encoder(tokenizer_path, end_id), np.array(bounds, np.int64), zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -253,11 +284,13 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 kind = "<u2" if encoder.width == 2 else "<u4"
                 packed = [squeeze.compress(x.astype(kind).tobytes()) for x in encoder.encode(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, pa.array(packed, pa.binary())], ["shard", "doc_id", "packed"])
+        del encoder
+        release_memory()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
-        width, spread = Encoder(tokenizer_path, end_id).width, zstandard.ZstdDecompressor()
+        spread = zstandard.ZstdDecompressor()
         now = writer = temporary = None
 
         def done() -> pa.RecordBatch:
@@ -285,7 +318,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     packed = rows.mapInArrow(encode, "shard int, doc_id long, packed binary")
     dealt = packed.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "doc_id", "packed")
-    return cut(dealt.mapInArrow(write, "shard int, uri string, entries long, tokens long"))
+    with small_batches(spark, 500):
+        return cut(dealt.mapInArrow(write, "shard int, uri string, entries long, tokens long"))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
