@@ -106,8 +106,8 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     total = math.fsum(share) or 1.0
     plan = phases([r["s"] for r in table], share, [-(-r["v"] // block_chars) for r in table], max(period, 4 * len(table))) if table else []
     spark = docs.sparkSession
-    schedule = spark.createDataFrame(plan, "s string, first long, end long, slot0 long, c long, period long, slots array<int>")
-    weight = spark.createDataFrame([(r["s"], w / total) for r, w in zip(table, share, strict=True)], "s string, mix_weight double")
+    schedule = spark.createDataFrame(plan, "__t string, __first long, __end long, __slot0 long, __c long, __period long, __slots array<int>")
+    weight = spark.createDataFrame([(r["s"], w / total) for r, w in zip(table, share, strict=True)], "__t string, mix_weight double")
 
     order = F.xxhash64(F.col(id_col), F.lit("mix"))
     known = docs.withColumns({"__s": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__v": volume, "__o": order, "__b": _bucket(order, buckets)})
@@ -121,10 +121,10 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     inside = Window.partitionBy("__s", "__b").orderBy(*ties).rowsBetween(Window.unboundedPreceding, 0)
     placed = known.withColumn("mix_offset", F.col("__base") + F.sum("__v").over(inside) - F.col("__v")).withColumn("mix_block", F.floor(F.col("mix_offset") / F.lit(block_chars)).cast("long"))
     # both sides have at most a row for each source and phase, of which there are at most MAX_SOURCES
-    found = placed.join(F.broadcast(schedule), (placed["__s"] == schedule["s"]) & (F.col("mix_block") >= F.col("first")) & (F.col("mix_block") < F.col("end"))).drop("s")
-    found = found.join(F.broadcast(weight), found["__s"] == weight["s"]).drop("s")
-    at = F.col("mix_block") - F.col("first")
-    slot = F.col("slot0") + F.floor(at / F.col("c")).cast("long") * F.col("period") + F.element_at("slots", (at % F.col("c") + 1).cast("int"))
+    found = placed.join(F.broadcast(schedule), (F.col("__s") == F.col("__t")) & (F.col("mix_block") >= F.col("__first")) & (F.col("mix_block") < F.col("__end"))).drop("__t")
+    found = found.join(F.broadcast(weight), F.col("__s") == F.col("__t")).drop("__t")
+    at = F.col("mix_block") - F.col("__first")
+    slot = F.col("__slot0") + F.floor(at / F.col("__c")).cast("long") * F.col("__period") + F.element_at("__slots", (at % F.col("__c") + 1).cast("int"))
     return found.withColumn("mix_slot", slot).select(*(F.col(f"`{c}`") for c in docs.columns), F.col("__s").alias("mix_source"), *mine[1:3], "mix_slot", "mix_offset")
 
 

@@ -1,0 +1,22 @@
+"""The operators' queries against their SQL."""
+
+import duckdb
+import pytest
+
+from brindle.llm.queries import ORACLES, QUERIES
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_same_rows_as_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = QUERIES[name](spark, DATA)
+    columns = sorted(df.columns)
+    relation = con.sql(ORACLES[name])
+    assert sorted(relation.columns) == columns
+    at = [relation.columns.index(c) for c in columns]
+    key = lambda row: tuple((x is None, str(x)) for x in row)
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=key) == sorted((tuple(r[i] for i in at) for r in relation.fetchall()), key=key)
