@@ -110,14 +110,14 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     weight = spark.createDataFrame([(r["s"], w / total) for r, w in zip(table, share, strict=True)], "__t string, mix_weight double")
 
     order = F.xxhash64(F.col(id_col), F.lit("mix"))
-    known = docs.withColumns({"__s": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__v": volume, "__o": order, "__b": _bucket(order, buckets)})
+    known = docs.withColumns({"__s": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__v": volume, "__o": order, "__b": _bucket(order, buckets), "__x": F.xxhash64(F.col(text_col))})
     if buckets > 1:
         sums = known.groupBy("__s", "__b").agg(F.sum("__v").alias("v"))
         base = sums.select("__s", "__b", (F.sum("v").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("v")).alias("__base"))
         known = known.join(cut(base), ["__s", "__b"])
     else:
         known = known.withColumn("__base", F.lit(0).cast("long"))
-    ties = [F.col(c) for c in ("__o", id_col)] + [F.xxhash64(F.col(text_col))]
+    ties = [F.col(c) for c in ("__o", id_col, "__x")]  # not of the text itself, which a caller may not ask for
     inside = Window.partitionBy("__s", "__b").orderBy(*ties).rowsBetween(Window.unboundedPreceding, 0)
     placed = known.withColumn("mix_offset", F.col("__base") + F.sum("__v").over(inside) - F.col("__v")).withColumn("mix_block", F.floor(F.col("mix_offset") / F.lit(block_chars)).cast("long"))
     # both sides have at most a row for each source and phase, of which there are at most MAX_SOURCES
