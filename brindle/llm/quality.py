@@ -203,9 +203,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def with_score(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
     """docs with the column __score."""
     of = statistics(F.col(text_col))
-    # the statistics come out of a generator: a filter on the score would otherwise be pushed below
-    # them and compute them once for each rule
-    staged = docs.withColumn("__stats", F.explode(F.array(F.struct(*(c.alias(n) for n, c in of.items())))))
+    # computed in a projection, which shares what they have in common, they pass through a generator:
+    # a filter on the score would otherwise be pushed below and compute them once for each rule
+    computed = docs.withColumns({f"__stat_{n}": c for n, c in of.items()})
+    staged = computed.withColumn("__stats", F.explode(F.array(F.struct(*(F.col(f"__stat_{n}").alias(n) for n in of))))).drop(*(f"__stat_{n}" for n in of))
     return staged.withColumn("__score", model.column({n: F.col(f"__stats.{n}") for n in of})).drop("__stats")
 
 
