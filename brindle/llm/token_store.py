@@ -318,7 +318,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     packed = rows.mapInArrow(encode, "shard int, doc_id long, packed binary")
     dealt = packed.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "doc_id", "packed")
-    with small_batches(spark, 500):
+    with small_batches(spark, 1500):
         return cut(dealt.mapInArrow(write, "shard int, uri string, entries long, tokens long"))
 
 
