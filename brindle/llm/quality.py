@@ -200,14 +200,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return fit_rules(table[list(of)].to_numpy(float), table["__label"].to_numpy(), list(of))
 
 
-def with_score(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
-    """docs with the column __score."""
+def with_score(docs: DataFrame, model: RuleModel, text_col: str = "text", to_filter: bool = False) -> DataFrame:
+    """docs with the column __score.
+
+    to_filter: the score is going to be filtered by. Then the statistics pass through a generator, as the filter would
+    otherwise be pushed below them and compute them once for each rule.
+    """
     of = statistics(F.col(text_col))
-    # computed in a projection, which shares what they have in common, they pass through a generator:
-    # a filter on the score would otherwise be pushed below and compute them once for each rule
-    computed = docs.withColumns({f"__stat_{n}": c for n, c in of.items()})
-    staged = computed.withColumn("__stats", F.explode(F.array(F.struct(*(F.col(f"__stat_{n}").alias(n) for n in of))))).drop(*(f"__stat_{n}" for n in of))
-    return staged.withColumn("__score", model.column({n: F.col(f"__stats.{n}") for n in of})).drop("__stats")
+    names = {n: f"__stat_{n}" for n in of}
+    staged = docs.withColumns({names[n]: c for n, c in of.items()})
+    if to_filter:
+        rest = [F.col(f"`{c}`") for c in docs.columns]
+        staged = staged.select(*rest, F.inline(F.array(F.struct(*(F.col(c) for c in names.values())))))
+    return staged.withColumn("__score", model.column({n: F.col(c) for n, c in names.items()})).drop(*names.values())
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = 20_000) -> DataFrame:
@@ -229,4 +234,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that the classifier predicts as 1, with their columns."""
     model = fit_quality(docs, labels, **options)
-    return with_score(docs, model, options.get("text_col", "text")).where("__score >= 0.5").drop("__score")
+    return with_score(docs, model, options.get("text_col", "text"), to_filter=True).where("__score >= 0.5").drop("__score")
