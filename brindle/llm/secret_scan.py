@@ -31,6 +31,8 @@ DICTIONARY = (
 
 #: A word is looked at when it has a run of this kind, with a letter and a digit in it, or follows a credential's name.
 RUN = r"[A-Za-z0-9+/=_\-]{16,}"
+#: The same without names and = ahead: that sign is a value's own only at its end.
+PART = r"[A-Za-z0-9+/_\-]{16,}(?:={1,2}(?![A-Za-z0-9+/=_\-]))?"
 NAMES = ("length", "digits", "uppers", "lowers", "others", "changes", "distinct", "hex", "dictionary", "vowels", "prefix", "slashes", "path_example", "path_code", "credential", "other_code", "placeholder", "assigned", "quoted")
 
 
@@ -66,7 +68,10 @@ def features(value: Column, before: Column, word: Column, path: Column) -> dict[
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """(doc_id, word_no, word, value, before, path) of each word that may be a credential."""
+    """(doc_id, word_no, word, value, before, path) of each run, or value given to a name, that may be a credential.
+
+    word is the value's own part of the word between white space, where that has several.
+    """
     named = rf"(?i)(?:{CREDENTIAL})[\"']?\s*(?:[=:]|=>|\s)\s*\S"
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"), F.coalesce(path, F.lit("")).alias("path"))
@@ -81,9 +86,23 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", "word_no", word(F.col("word_no")).alias("word"),
         F.when(F.col("word_no") > 0, F.concat_ws(" ", F.slice("w", F.greatest(F.col("word_no") - 3, F.lit(0)) + 1, F.least(F.col("word_no"), F.lit(4)).cast("int")))).otherwise("").alias("before"), "path",
     )
-    run = F.regexp_extract("word", RUN, 0)
-    value = F.when(run != "", run).otherwise(F.regexp_extract("word", r"([^\s\"'`=:]+)[\"'`,;.]*$", 1))
-    return found.withColumn("value", value).where(F.length("value") >= 8)
+    mixed = lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]")
+    runs = F.filter(F.regexp_extract_all("word", F.lit(PART), F.lit(0)), mixed)
+    # what is given to credentials' names within the word, and the word's end, where these have no run
+    given = F.regexp_extract_all("word", F.lit(rf"(?i)(?:{CREDENTIAL})[\"']?(?:[=:]|=>)[\"']?([^\s\"'`=:,;&]{{8,}})"), F.lit(1))
+    last = F.regexp_extract("word", r"([^\s\"'`=:]+)[\"'`,;.]*$", 1)
+    values = F.concat(runs, F.filter(given, lambda x: ~F.exists(runs, lambda r: F.contains(r, x) | F.contains(x, r))))
+    whole = F.filter(F.regexp_extract_all("word", F.lit(RUN), F.lit(0)), lambda x: mixed(x) & ~F.exists(values, lambda r: F.contains(x, r) | F.contains(r, x)))
+    values = F.array_distinct(F.concat(values, whole))
+    values = F.when(F.size(values) > 0, values).otherwise(F.array(F.when(F.regexp_extract("word", RUN, 0) != "", F.regexp_extract("word", RUN, 0)).otherwise(last)))
+    each = found.withColumn("value", F.explode(values)).where(F.length("value") >= 8)
+    # a value's own part of the word: from the end of the pair before to its end, with a closing quote
+    start = F.instr(F.col("word"), F.col("value"))
+    ahead = F.substring(F.col("word"), F.lit(1), start - 1)
+    own = F.regexp_extract(ahead, r"([^,;&{}\[\]()?]*)$", 1)
+    closing = F.regexp_extract(F.substring(F.col("word"), start + F.length("value"), F.length("word")), r"^([\"'`]?)", 1)
+    alone = F.size(F.regexp_extract_all("word", F.lit(RUN), F.lit(0))) + F.size(F.regexp_extract_all("word", F.lit(r"[^=:][=:][^=:]"), F.lit(0))) <= 2
+    return each.withColumn("word", F.when(alone, F.col("word")).otherwise(F.concat(own, F.col("value"), closing)))
 
 
 def fixture_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
@@ -133,8 +152,8 @@ def fit_forest(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int =
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
     """One row per candidate: (doc_id, word_no, value, score, secret).
 
-    word_no counts the text's words between white space from 0. score is the forest's probability that the word is a
-    credential, secret whether that reaches the threshold: rows without are the removed false positives.
+    word_no counts the text's words between white space from 0; a word with several runs has a row for each different one. score is
+    the forest's probability that the value is a credential, secret whether that reaches the threshold: rows without are the removed false positives.
 
     Null and empty texts have no candidates; texts are read whole at any length. A null path is an empty
     one. Repeated rows are reported each; an empty table gives no rows; other columns are ignored.
