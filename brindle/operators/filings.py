@@ -30,9 +30,10 @@ def _section_bounds(two: Column, three: Column, seven: Column, eight: Column) ->
     first_after = lambda of, x: F.array_min(F.filter(of, lambda y: y > x))
 
     def bounds(p: Column) -> Column:
-        start, stop = first_after(seven, p), first_after(three, p)
-        last = F.array_max(F.filter(eight, lambda y: (y > start) & (stop.isNull() | (y < stop))))
-        return F.when(start.isNotNull() & last.isNotNull() & (stop.isNull() | (start < stop)), F.struct(start.alias("start"), last.alias("end")))
+        start = first_after(seven, p)
+        stop = first_after(three, start)
+        last = F.array_max(F.filter(eight, lambda y: (y > start) & (y < stop)))
+        return F.when(last.isNotNull(), F.struct(start.alias("start"), last.alias("end")))
 
     found = F.filter(F.transform(F.reverse(two), bounds), lambda b: b.isNotNull())
     return F.get(found, F.lit(0))
@@ -51,14 +52,19 @@ def _offsets(text: Column, pattern: str) -> Column:
 
 
 def section(docs: DataFrame, text_col: str = "text", out: str = "section", strict: bool = True) -> DataFrame:
-    """docs with the text from an `item 7.` to an `item 8.` within Part II, null where a document has none.
+    """docs with the text from an `item 7` to an `item 8` within Part II, null where a document has none.
 
-    Part II's mentions are tried from the last to the first: the first Part III after it, the first item 7 after it,
-    the last item 8 between. strict: `part ii` doesn't count where `part iii` stands.
+    Part II's mentions are tried from the last to the first: the first item 7 after it, the first Part III after that, which
+    must follow, the last item 8 between. Letters match in either case. strict: any white space stands in a mark and `part ii` doesn't count
+    where `part iii` stands; else a mark has the one space and both count.
+
+    Null and empty texts have no section; texts of any length are read whole, and offsets are the text's own.
     """
-    marks = {"__two": r"part\s+ii(?!i)" if strict else r"part\s+ii", "__three": r"part\s+iii", "__seven": r"items?\s+7\.", "__eight": r"item\s+8\."}
+    strictly = {"__two": r"part\s+ii\b", "__three": r"part\s+iii\b", "__seven": r"items?\s+7[.:\s]", "__eight": r"item\s+8[.:\s]"}
+    loosely = {"__two": r"part iii?\b", "__three": r"part iii\b", "__seven": r"items?\s7[.:\s]", "__eight": r"item 8[.:\s]"}
+    marks = strictly if strict else loosely
     # the offsets are columns of their own, so that no lambda computes them again
-    placed = docs.withColumns({k: _offsets(F.lower(text_col), p) for k, p in marks.items()})
+    placed = docs.withColumns({k: _offsets(F.col(text_col), f"(?iU){p}") for k, p in marks.items()})
     bounds = placed.withColumn("__b", _section_bounds(*(F.col(k) for k in marks)))
     return bounds.withColumn(out, F.expr(f"substring({text_col}, __b.start + 1, __b.end - __b.start)")).drop("__b", *marks)
 

@@ -90,10 +90,35 @@ def filing_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("o_orderkey", "period_of_report", "accession_number", "cik", "company_name", "year_of_report")
 
 
-@REGISTRY.add("SELECT doc_id, 'Item 7. ' || text || ' ' AS section FROM documents WHERE NOT regexp_matches(text, '(?i)part\\s+ii|items?\\s+[78]\\.')")
+#: Marks put before and after the texts, by doc_id: sections are found, or not, for different reasons.
+FRAMES = (
+    ("Contents Part II Item 7. x Item 8. Part III y PART  II Item 7. ", " Item 8. figures PART III see Item 8. end"),
+    ("Part II see Part III below. Items 7 and 7A. ", " item 8: y Part III"),
+    ("Part II Item 7: ", " Item 8. without a third part"),
+    ("Part III of last year. PART II ITEM 7. Part III ", " Item 8. PART III"),
+    ("Part II Item 7. ", " Item 8. a Item 8. Part III, as in Part II, Item 7 tells"),
+    ("Item 7. ", " Item 8. Part III"),
+    ("", ""),
+)
+
+
+def _frames_sql() -> str:
+    rows = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(FRAMES))
+    offsets = lambda p: f"""list_transform(range(1, len(regexp_extract_all(t, '{p}')) + 1), lambda k: CAST(coalesce(list_sum(list_transform(regexp_split_to_array(t, '{p}')[1:k], lambda x: length(x))), 0)
+        + coalesce(list_sum(list_transform(regexp_extract_all(t, '{p}')[1:k - 1], lambda x: length(x))), 0) AS BIGINT))"""
+    return f"""WITH framed AS (SELECT doc_id, a || text || b AS t FROM documents JOIN (VALUES {rows}) f(i, a, b) ON doc_id % {len(FRAMES)} = i),
+    marks AS (SELECT doc_id, t, {offsets('(?i)part[[:space:]]+ii[[:>:]]'.replace('[[:>:]]', chr(92) + 'b'))} AS two, {offsets('(?i)part[[:space:]]+iii' + chr(92) + 'b')} AS three,
+      {offsets('(?i)items?[[:space:]]+7[.:[:space:]]')} AS seven, {offsets('(?i)item[[:space:]]+8[.:[:space:]]')} AS eight FROM framed),
+    tried AS (SELECT doc_id, p, list_min(list_filter(seven, lambda y: y > p)) AS s, three, eight FROM (SELECT *, unnest(two) AS p FROM marks)),
+    ended AS (SELECT doc_id, p, s, list_max(list_filter(eight, lambda y: y > s AND y < list_min(list_filter(three, lambda z: z > s)))) AS e FROM tried),
+    best AS (SELECT doc_id, arg_max(s, p) AS s, arg_max(e, p) AS e FROM ended WHERE e IS NOT NULL GROUP BY doc_id)
+    SELECT framed.doc_id, substr(t, s + 1, e - s) AS section FROM framed LEFT JOIN best USING (doc_id)"""
+
+
+@REGISTRY.add(_frames_sql())
 def section_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"(?i)part\s+ii|items?\s+[78]\."))
-    framed = docs.select("doc_id", F.concat(F.lit("Contents Part II Item 7. x Item 8. Part III y PART  II Item 7. "), "text", F.lit(" Item 8. figures PART III see Item 8. end")).alias("text"))
+    frame = lambda end: F.element_at(F.array(*(F.lit(f[end]) for f in FRAMES)), (F.col("doc_id") % len(FRAMES) + 1).cast("int"))
+    framed = table(spark, sf_dir, "documents").select("doc_id", F.concat(frame(0), "text", frame(1)).alias("text"))
     return filings.section(framed).select("doc_id", "section")
 
 

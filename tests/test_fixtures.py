@@ -60,6 +60,17 @@ def test_section(spark):
     df = spark.createDataFrame([(t,), ("",), (None,), ("Part II item 8. item 7.",)], "text string")
     assert [r["section"] for r in filings.section(df).collect()] == ["Item 7. body ", None, None, None]
     assert filings.section(df, strict=False).first()["section"] == "Item 7. and "
+    cases = {
+        "Part II see Part III below. Item 7. x Item 8. y Part III": "Item 7. x ",
+        "Part II Item 7. x Item 8. y": None,
+        "Part II Items 7 and 7A. x Item 8. y Part III": "Items 7 and 7A. x ",
+        "Part II Item 7: x Item 8: y Part III": "Item 7: x ",
+        "\u0130\u0130 Part II Item 7. MDA text Item 8. y Part III": "Item 7. MDA text ",
+        "Part\u00a0II Item\n7. x Item\t8. y part iii": "Item\n7. x ",
+        "Part IIII Item 7. x Item 8. y Part III": None,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "text string")
+    assert {r["text"]: r["section"] for r in filings.section(df).collect()} == cases
 
 
 def test_first_of_accession_keeps_nulls(spark):
