@@ -7,11 +7,13 @@ import ctypes
 import gc
 import tempfile
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +41,37 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or known.get()
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared storage with all that is in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder, without their lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+#: Rows of a file whose places follow one another.
+FILE_ROWS = 1 << 40
+
+
+def with_places(docs: DataFrame, name: str = "place") -> DataFrame:
+    """docs with a number of its own for each row; for rows read from files their place in the order of writing, by file, then by row."""
+    files = sorted({unquote(f.rsplit("/", 1)[-1]) for f in docs.inputFiles()})
+    try:
+        seen = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row")) if files else None
+    except AnalysisException:  # rows of files no more
+        seen = None
+    if seen is None:
+        return cut(docs.withColumn(name, F.monotonically_increasing_id()))
+    ranks = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "__file string, __rank long")
+    # a row for each file
+    placed = seen.join(F.broadcast(ranks), "__file").withColumn(name, F.col("__rank") * FILE_ROWS + F.col("__row"))
+    return placed.drop("__file", "__rank", "__row")
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """For what is computed inside, fewer rows at a time go to Python: texts are long."""

@@ -81,13 +81,14 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
 
     A row links with nothing where its label or vector is null, the vector is empty or zero or
     holds a null or non-finite component, or no other has its length. Repeated rows link with each
-    other; rows of a null id take part and never give a component its id. An empty table gives no
+    other; rows of a null id take part, count as links and never give a component its id (null where no row of it has one, and never kept). An empty table gives no
     rows; other columns are ignored.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.withColumn("ok", F.col("label").isNotNull() & usable(F.col("v"))).withColumn("h", F.when(F.col("ok"), F.xxhash64("label", "v")))
-    classes = cut(rows.where("ok").groupBy("label", "v", "h").agg(F.min("id").alias("id"), F.count("*").alias("m")))
-    known = classes.where("id is not null").withColumn("dim", F.size("v"))
+    # a class of null ids goes by its hash until components are known
+    classes = cut(rows.where("ok").groupBy("label", "v", "h").agg(F.min("id").alias("real"), F.count("*").alias("m")).withColumn("id", F.coalesce("real", "h")))
+    known = classes.withColumn("dim", F.size("v"))
     blocks = known.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(group)).cast("int").alias("g"))
     dealt = known.join(blocks, ["label", "dim"]).withColumn("blk", F.pmod(F.xxhash64("h"), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     dealt = dealt.select("id", "h", "m", "v", "label", "dim", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") < F.col("other"), 0).otherwise(1).alias("side"))
@@ -103,8 +104,11 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     found = cut(dealt.groupBy("label", "dim", "x", "y").applyInPandas(per_pair, "src long, dst long, links long"))
     counts = found.where("links > 0").groupBy(F.col("src").alias("id"), F.col("dst").alias("h")).agg(F.sum("links").alias("links"))
     comps = components(found.where("links = 0").select("src", "dst")).select(F.col("node").alias("id"), "comp")
+    if not classes.where("real is null").isEmpty():
+        least = comps.join(classes.select("id", "real"), "id").groupBy("comp").agg(F.min("real").alias("least"))
+        comps = comps.join(least, "comp").select("id", F.col("least").alias("comp"))
     of_class = classes.join(counts, ["id", "h"], "left").join(comps, "id", "left").select(
-        "label", "h", F.col("v").alias("cv"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("comp", "id").alias("comp")
+        "label", "h", F.col("v").alias("cv"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("comp", "real").alias("comp")
     )
     # a class may hold a third of all rows and has one row here: adaptive execution splits the rows' side
     joined = rows.join(of_class, ["label", "h"], "left").where("cv is null or cv = v")

@@ -84,7 +84,7 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
 
     weights: of sources, by name; without them, volume to the given power. Sources outside of weights get the
     least weight. Each row is kept once. A source's documents come in the order of a hash of their
-    id; a block has those that begin in its block_chars characters, and one of greater length takes
+    id and text; a block has those that begin in its block_chars characters, and one of greater length takes
     up the blocks that it covers.
 
     A null source is the source "". A null or empty text takes one character, so that nothing vanishes; null
@@ -109,16 +109,16 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     schedule = spark.createDataFrame(plan, "__t string, __first long, __end long, __slot0 long, __c long, __period long, __slots array<int>")
     weight = spark.createDataFrame([(r["s"], w / total) for r, w in zip(table, share, strict=True)], "__t string, mix_weight double")
 
-    order = F.xxhash64(F.col(id_col), F.lit("mix"))
-    known = docs.withColumns({"__s": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__v": volume, "__o": order, "__b": _bucket(order, buckets), "__x": F.xxhash64(F.col(text_col))})
+    # the text spreads rows of one id, or of none, over buckets
+    order = F.xxhash64(F.col(id_col), F.col(text_col))
+    known = docs.withColumns({"__s": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__v": volume, "__o": order, "__b": _bucket(order, buckets)})
     if buckets > 1:
         sums = known.groupBy("__s", "__b").agg(F.sum("__v").alias("v"))
         base = sums.select("__s", "__b", (F.sum("v").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("v")).alias("__base"))
         known = known.join(cut(base), ["__s", "__b"])
     else:
         known = known.withColumn("__base", F.lit(0).cast("long"))
-    ties = [F.col(c) for c in ("__o", id_col, "__x")]  # not of the text itself, which a caller may not ask for
-    inside = Window.partitionBy("__s", "__b").orderBy(*ties).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("__s", "__b").orderBy("__o", id_col).rowsBetween(Window.unboundedPreceding, 0)
     placed = known.withColumn("mix_offset", F.col("__base") + F.sum("__v").over(inside) - F.col("__v")).withColumn("mix_block", F.floor(F.col("mix_offset") / F.lit(block_chars)).cast("long"))
     # both sides have at most a row for each source and phase, of which there are at most MAX_SOURCES
     found = placed.join(F.broadcast(schedule), (F.col("__s") == F.col("__t")) & (F.col("mix_block") >= F.col("__first")) & (F.col("mix_block") < F.col("__end"))).drop("__t")

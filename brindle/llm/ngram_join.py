@@ -290,12 +290,20 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     (null where no row of the component has one). Other columns of docs are ignored, an empty
     table gives no rows. bound: tokens of a cluster beyond which it is joined by pairs of blocks.
     """
-    with small_batches(docs.sparkSession):
-        return _ngram_components(docs, id_col, text_col, width, percent, bound)
-
-
-def _ngram_components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, bound: int) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    with small_batches(docs.sparkSession):
+        if rows.where("doc is null").isEmpty():
+            return _ngram_components(rows, width, percent, bound)
+        # rows of a null id go by a hash of their text until components are known
+        named = F.coalesce("doc", F.xxhash64("text", F.lit("no id")))
+        found = cut(_ngram_components(rows.select(named.alias("doc"), "text"), width, percent, bound))
+    nameless = rows.where("doc is null").select(named.alias("doc_id"), F.lit(True).alias("nameless")).distinct()
+    told = found.join(nameless, "doc_id", "left")
+    least = told.where("nameless is null").groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    return told.join(least, "component_id", "left").select(F.when(F.col("nameless").isNull(), F.col("doc_id")).alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+
+
+def _ngram_components(rows: DataFrame, width: int, percent: int, bound: int) -> DataFrame:
     per_doc = cut(_classes(rows, width))
     classes = per_doc.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("id"), F.first("n").alias("n"))
     total = per_doc.agg(F.sum("n")).first()[0] or 0
@@ -303,7 +311,7 @@ def _ngram_components(docs: DataFrame, id_col: str, text_col: str, width: int, p
     pieces = max(8, math.ceil(total * 0.5 / 1_500_000))
     edges = _candidate_edges(rows, width, percent, pieces)
     clusters = components(edges).select(F.col("node").alias("h1"), F.col("comp").alias("cluster"))
-    taking_part = cut(classes.join(clusters, "h1").where("id is not null"))
+    taking_part = cut(classes.join(clusters, "h1"))
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = Levels(percent)

@@ -9,7 +9,7 @@ A shard holds documents in ascending order of their key:
     footer   offsets and sizes of index and filter u64 each, entries u64, tokens u64, hashes of the
              filter u32, bytes of an id u32, magic of 8 bytes
 
-A value is the ids of a document, in 2 or 4 bytes each, little-endian. A key is a byte 1 and the
+A value is the document's place in the order of reading i64, or -1, and its ids in 2 or 4 bytes each, little-endian. A key is a byte 1 and the
 document id, sign bit flipped, as 8 big-endian bytes; a null id is a byte 0. So keys sort as ids do,
 and nulls come first.
 """
@@ -33,14 +33,18 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, release_memory, shared_dir, small_batches
+from .common import FILE_ROWS, cut, release_memory, shared_dir, small_batches
 
-MAGIC = b"BRNDSST1"
+MAGIC = b"BRNDSST2"
 FOOTER = struct.Struct("<QQQQQQII8s")
 BLOCK = 256 << 10
 BITS_PER_KEY, HASHES = 10, 7
+#: Bytes of a document's place.
+PLACE = 8
 #: Words whose ids a worker remembers.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 500_000
+#: Shards of a table: of one with more than so many times shard_bytes of text they are larger.
+MAX_SHARDS = 20_000
 
 
 def encode_key(doc_id: int | None) -> bytes:
@@ -81,7 +85,7 @@ class ShardWriter:
         self.size += len(self.block[-1])
         self.held, self.last = self.held + 1, key
         self.keys.append(xxhash.xxh3_128_digest(key))
-        self.entries, self.tokens = self.entries + 1, self.tokens + len(value) // self.width
+        self.entries, self.tokens = self.entries + 1, self.tokens + (len(value) - PLACE) // self.width
         if self.size >= BLOCK:
             self._flush()
 
@@ -153,7 +157,10 @@ class Shard:
         return all(data[p >> 3] >> (7 - (p & 7)) & 1 for p in _probes(key, bits))
 
     def ids(self, value: bytes) -> np.ndarray:
-        return np.frombuffer(value, "<u2" if self.width == 2 else "<u4").astype(np.uint32)
+        return np.frombuffer(value, "<u2" if self.width == 2 else "<u4", offset=PLACE).astype(np.uint32)
+
+    def place(self, value: bytes) -> int:
+        return struct.unpack_from("<q", value)[0]
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of every entry of a key, by the filter and a binary search of the index."""
@@ -184,7 +191,7 @@ class Encoder:
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.width = 2 if max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
-        self._forget()
+        self._start()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool) if suffix else None
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix else ():
@@ -192,13 +199,24 @@ class Encoder:
         probe = ["Abc.,Def, x.a1$Y", "abc .,def , x .a 1$y"]
         self.plain = all("<|" in t.content for t in self.tokenizer.get_added_tokens_decoder().values()) and len({tuple(self.tokenizer.encode(t, add_special_tokens=False).ids) for t in probe}) == 1
 
-    def _forget(self) -> None:
+    def _start(self) -> None:
         self.known: dict[str, int] = {}
         self.start, self.flat = array("q", [0]), array("I")
 
+    def _keep(self, words: list[str]) -> None:
+        """Forget all words but these, which are at hand and mostly common ones."""
+        known, start, flat = self.known, self.start, self.flat
+        self._start()
+        for w in words:
+            at = known.get(w)
+            if at is not None:
+                self.known[w] = len(self.known)
+                self.flat.extend(flat[start[at] : start[at + 1]])
+                self.start.append(len(self.flat))
+
     def _places(self, words: list[str]) -> np.ndarray:
         if len(self.known) + len(words) > KNOWN_WORDS:
-            self._forget()
+            self._keep(words)
         known, new = self.known, [w for w in words if w not in self.known]
         letters = [w for w in new if w.isalpha()] if self.ends is not None else []
         parts = [letters[at : at + 500] for at in range(0, len(letters), 500)]
@@ -233,10 +251,12 @@ class Encoder:
         values, parents = values.filter(full), parents.filter(full)
         coded = values.dictionary_encode()
         place = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(values) else np.zeros(0, np.int64)
-        start, flat = np.array(self.start, np.int64), np.array(self.flat, np.uint32)  # copies, as the buffers grow
-        size = start[place + 1] - start[place]
-        ends = np.cumsum(size)
-        ids = flat[np.repeat(start[place] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        # a word's ids by its place; copies, as the buffers grow
+        start, flat = np.array(self.start, np.int64), np.array(self.flat, np.uint32)
+        size = np.diff(start).astype(np.int32)[place]
+        ends = np.cumsum(size, dtype=np.int64)
+        kind = np.int32 if len(flat) + (ends[-1] if len(ends) else 0) < 1 << 31 else np.int64
+        ids = flat[np.repeat((start[:-1][place] - (ends - size)).astype(kind), size) + np.arange(ends[-1] if len(ends) else 0, dtype=kind)]
         edge = np.zeros(n + 1, np.int64)
         np.cumsum(np.bincount(parents.to_numpy(zero_copy_only=False).astype(np.int64), weights=size, minlength=n).astype(np.int64), out=edge[1:])
         return [np.append(ids[a:b], np.uint32(self.end_id)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
@@ -251,11 +271,23 @@ def _slices(texts: pa.Array, most: int = 6 << 20) -> Iterator[pa.Array]:
         at = stop
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_bytes: int = 64 << 20, folder: str | None = None) -> DataFrame:
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """This process's encoder, which remembers words from task to task."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
+
+
+def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_bytes: int = 64 << 20, folder: str | None = None, place_col: str | None = None) -> DataFrame:
     """Write the table and return its manifest: (shard, uri, entries, tokens), in order of the keys.
 
     tokenizer_path: a file of the tokenizers library that every worker can open. A shard holds the
-    documents of a range of ids, about shard_bytes of text. Files appear under their final name
+    documents of a range of ids, about shard_bytes of text. place_col: a number from 0 by which documents are to be
+    read, kept with their ids. Files appear under their final name
     when they are whole; a task that runs again writes the same bytes.
 
     Null and empty texts are the end id alone; null ids come first; rows of equal id are adjacent
@@ -266,25 +298,24 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     if "://" not in folder:
         folder = folder.replace("file:", "") if folder.startswith("file:") else folder
         folder = f"file://{folder}"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.coalesce(F.col(place_col).cast("long"), F.lit(-1)) if place_col else F.lit(-1)).cast("long").alias("place"))
     held = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
-    shards = max(1, min(held["n"], -(-(held["b"] or 0) // shard_bytes)))
+    shards = max(1, min(held["n"], -(-(held["b"] or 0) // shard_bytes), MAX_SHARDS))
     bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards)).first()[0] or [])) if shards > 1 else []
 
-    width = Encoder(tokenizer_path, end_id).width
+    width = encoder_of(tokenizer_path, end_id).width
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, cuts, squeeze = Encoder(tokenizer_path, end_id), np.array(bounds, np.int64), zstandard.ZstdCompressor(level=1)
+        encoder, cuts, squeeze = encoder_of(tokenizer_path, end_id), np.array(bounds, np.int64), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             at = 0
             for texts in _slices(batch.column(1)):
-                ids = batch.column(0).slice(at, len(texts))
+                ids, place = batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts))
                 at += len(texts)
                 shard = np.searchsorted(cuts, pc.fill_null(ids, -(1 << 63)).to_numpy(zero_copy_only=False), side="left")
                 kind = "<u2" if encoder.width == 2 else "<u4"
                 packed = [squeeze.compress(x.astype(kind).tobytes()) for x in encoder.encode(texts)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, pa.array(packed, pa.binary())], ["shard", "doc_id", "packed"])
-        del encoder
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), ids, place, pa.array(packed, pa.binary())], ["shard", "doc_id", "place", "packed"])
         release_memory()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,13 +332,13 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
         try:
             for batch in batches:
-                for shard, doc_id, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                for shard, doc_id, place, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                     if shard != now:
                         if writer:
                             yield done()
                         now, temporary = shard, f".{uuid.uuid4().hex}.part"
                         writer = ShardWriter(system.open_output_stream(f"{root}/{temporary}"), width)
-                    writer.add(encode_key(doc_id), spread.decompress(packed.as_py()))
+                    writer.add(encode_key(doc_id), struct.pack("<q", place) + spread.decompress(packed.as_py()))
             if writer:
                 last, writer_done = done(), True
                 writer = None
@@ -316,31 +347,46 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             if writer and not writer.out.closed:
                 writer.out.close()
 
-    packed = rows.mapInArrow(encode, "shard int, doc_id long, packed binary")
-    dealt = packed.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "doc_id", "packed")
+    packed = rows.mapInArrow(encode, "shard int, doc_id long, place long, packed binary")
+    # a shard is a partition of its own
+    dealt = packed.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "packed")
     with small_batches(spark, 1500):
         return cut(dealt.mapInArrow(write, "shard int, uri string, entries long, tokens long"))
 
 
-def read_shards(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, read from the shards."""
-    order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+def read_shards(manifest: DataFrame, places: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, read from the shards; start: ids of all before it, by key.
+
+    places: with the column place, the document's place in the order of reading.
+    """
+    order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # at most MAX_SHARDS rows
     based = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["place"] * places
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(uri)
                 for i in range(len(shard.blocks)):
-                    doc, start, count, crc = [], [], [], []
+                    rows = []
                     for key, value in shard.block(i):
                         ids = shard.ids(value)
-                        doc.append(decode_key(key))
-                        start.append(base)
-                        count.append(len(ids))
-                        crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                        rows.append((decode_key(key), base, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), shard.place(value)))
                         base += len(ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, count, crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in list(zip(*rows, strict=True))[: len(names)]], names)
 
     spread = based.select("uri", "base").repartition(max(1, manifest.count()), "uri")
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(read, ", ".join(f"{n} long" for n in names))
+
+
+def starts_by_place(read: DataFrame) -> DataFrame:
+    """read_shards' rows of with_places' places with start as the ids of all documents before in the order of places.
+
+    Running sums go file by file, over sums of files: of files there are few, and of a file's rows as many as one task wrote.
+    """
+    rows = read.withColumn("__file", F.floor(F.col("place") / F.lit(FILE_ROWS)).cast("long"))
+    sums = rows.groupBy("__file").agg(F.sum("n_tokens").alias("__n"))
+    before = sums.select("__file", (F.sum("__n").over(Window.orderBy("__file")) - F.col("__n")).alias("__before"))
+    inside = Window.partitionBy("__file").orderBy("place")
+    own = rows.withColumn("__own", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
+    return own.join(F.broadcast(before), "__file").withColumn("start", F.col("__before") + F.col("__own")).drop("__file", "__before", "__own")
