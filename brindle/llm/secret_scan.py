@@ -29,8 +29,10 @@ DICTIONARY = (
     "task temp template test text the thread time title token tool total trace tree trigger type update upload url user utils value vector version view web widget width window with word work write"
 ).split()
 
-#: A word is looked at when it has a run of this kind, with a letter and a digit in it, or follows a credential's name.
+#: A word is looked at when it has a run of this kind with a letter and a digit in it, or follows a credential's name.
 RUN = r"[A-Za-z0-9+/=_\-]{16,}"
+#: A run with a letter and a digit in it.
+MIXED = rf"(?=[A-Za-z+/=_\-]*[0-9])(?=[0-9+/=_\-]*[A-Za-z]){RUN}"
 #: The same without names and = ahead: that sign is a value's own only at its end.
 PART = r"[A-Za-z0-9+/_\-]{16,}(?:={1,2}(?![A-Za-z0-9+/=_\-]))?"
 NAMES = ("length", "digits", "uppers", "lowers", "others", "changes", "distinct", "hex", "dictionary", "vowels", "prefix", "slashes", "path_example", "path_code", "credential", "other_code", "placeholder", "assigned", "quoted")
@@ -75,13 +77,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = rf"(?i)(?:{CREDENTIAL})[\"']?\s*(?:[=:]|=>|\s)\s*\S"
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"), F.coalesce(path, F.lit("")).alias("path"))
-    rows = rows.where(F.col("t").rlike(rf"(?=[A-Za-z+/=_\-]*[0-9])(?=[0-9+/=_\-]*[A-Za-z]){RUN}") | F.col("t").rlike(named))
+    rows = rows.where(F.col("t").rlike(MIXED) | F.col("t").rlike(named))
     words = rows.withColumn("w", F.split("t", r"\s+")).drop("t")
     word = lambda i: F.element_at("w", i + 1)
-    has_run = lambda w: w.rlike(RUN) & w.rlike("[0-9]") & w.rlike("[A-Za-z]")
     follows = lambda i: (i > 0) & (F.length(word(i)) >= 8) & F.concat_ws(" ", F.slice("w", F.greatest(i - 1, F.lit(1)), F.when(i > 1, 2).otherwise(1))).rlike(rf"(?i)(?:{CREDENTIAL})[\"']?(?:\s*(?:[=:]|=>))+$")
     inline = lambda w: w.rlike(rf"(?i)(?:{CREDENTIAL})[\"']?(?:[=:]|=>)[\"']?[^\s\"']{{8,}}")
-    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: has_run(word(i)) | inline(word(i)) | follows(i))
+    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: word(i).rlike(MIXED) | inline(word(i)) | follows(i))
     found = words.withColumn("word_no", F.explode(places)).select(
         "doc_id", "word_no", word(F.col("word_no")).alias("word"),
         F.when(F.col("word_no") > 0, F.concat_ws(" ", F.slice("w", F.greatest(F.col("word_no") - 3, F.lit(0)) + 1, F.least(F.col("word_no"), F.lit(4)).cast("int")))).otherwise("").alias("before"), "path",
@@ -117,9 +118,13 @@ def fixture_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     code = lambda k: F.regexp_replace(F.base64(F.unhex(hexes(k))), "[+/=]", "")
     names = F.array(*map(F.lit, DICTIONARY))
     term = lambda k: F.element_at(names, (F.pmod(h(k), F.lit(len(DICTIONARY))) + 1).cast("int"))
+    letters = lambda k, n: F.translate(F.substring(hexes(k), 1, n), "0123456789abcdef", "ghijklmnopqrstuv")
+    some = lambda text, k: F.substring(text, F.lit(1), F.lit(20) + F.pmod(h(k), F.lit(24)).cast("int"))
     secret = pick(
-        1, F.substring(hexes(2), 1, 32), F.substring(hexes(2), 1, 40), F.substring(hexes(2), 1, 40), hexes(2), F.substring(code(2), 1, 20), F.substring(code(2), 1, 32), code(2),
+        1, F.substring(hexes(2), 1, 32), F.substring(hexes(2), 1, 40), F.substring(hexes(2), 1, 40), hexes(2), F.upper(F.substring(hexes(2), 1, 32)), some(code(2), 13), some(code(2), 13), code(2),
         F.concat(F.lit("ghp_"), F.substring(code(2), 1, 36)), F.concat(F.lit("AKIA"), F.upper(F.substring(code(2), 1, 16))), F.concat(F.lit("sk_live_"), F.substring(code(2), 1, 24)),
+        # the like of unknown makers
+        F.concat(letters(14, 3), pick(15, "_", "-"), some(code(2), 13)), F.concat(letters(14, 2), F.lit("_"), letters(16, 4), F.lit("_"), some(code(2), 13)), F.upper(F.concat(letters(14, 4), F.substring(code(2), 1, 16))), F.upper(some(code(2), 13)),
     )
     uuid = F.concat_ws("-", F.substring(hexes(3), 1, 8), F.substring(hexes(3), 9, 4), F.substring(hexes(3), 13, 4), F.substring(hexes(3), 17, 4), F.substring(hexes(3), 21, 12))
     named = F.concat_ws("_", term(4), term(5), term(6), F.pmod(h(7), F.lit(100)).cast("string"))

@@ -2,9 +2,9 @@
 
 Every rule is a regular expression over host and path, with the literal tokens that any URL it
 matches must hold as whole tokens. Each rule is filed under the one of them that is rarest in
-the URLs at hand; a URL's tokens fetch the rules filed under them, and only those run their
-expression. All of it is column expressions in one pass over the URLs, without a shuffle; a
-small aggregation before counts the rules' tokens.
+the URLs at hand, those without one under the empty token that every URL has. The index is a table of a row for each
+rule, sent to all executors: a URL's tokens fetch rules by a hash join, only those run their expression, and what
+fits comes back to the URLs by host and path.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules are compiled into the plan; beyond this many a plan is no place for them.
-MAX_RULES = 20_000
+#: The index goes to all executors; beyond this many rules it is too large for that.
+MAX_RULES = 200_000
 
 
 @dataclass(frozen=True)
@@ -53,6 +53,11 @@ def token_rule(verdict: str, token: str, where: str = "any") -> Rule:
     return Rule(f"{where}:{token}", verdict, f"(?is){lead}{token}{tail}", (token.lower(),))
 
 
+def shape_rule(verdict: str, name: str, pattern: str, *tokens: str) -> Rule:
+    """A rule for the shape of host + path; tokens are those that all its matches hold whole."""
+    return Rule(name, verdict, pattern, tokens)
+
+
 SITE_RULES = (
     site_rule("block", "net/"),
     site_rule("allow", "example.net/en/"),
@@ -64,6 +69,25 @@ PAGE_RULES = tuple(
     [token_rule("block", t, "path") for t in ("login", "signin", "signup", "logout", "cart", "checkout", "captcha", "unsubscribe", "cgi")]
     + [token_rule("block", t, "host") for t in ("adserver", "ads", "adult", "bets", "doubleclick", "pills", "spam", "track", "tracker")]
     + [token_rule("block", t) for t in ("casino", "porn", "viagra", "warez", "xxx")]
+    # lists, searches and machine views of pages that are elsewhere as pages
+    + [shape_rule("block", f"list:{t}", rf"(?i)^[^/]*/(?:.*/)?{t}/[^/]+(?:/page/[0-9]+)?/?$", t) for t in ("tag", "tags", "topic", "topics", "label", "labels", "author", "authors", "archive", "archives")]
+    + [shape_rule("block", f"view:{t}", rf"(?i)^[^/]*/(?:.*/)?{t}/?$", t) for t in ("feed", "rss", "atom", "print", "amp", "sitemap", "search", "trackback", "register", "account", "basket", "wishlist", "contact", "imprint", "privacy", "terms")]
+    + [shape_rule("block", f"file:{t}", rf"(?i)^[^/]+/.*[.]{t}$", t) for t in ("jpg", "jpeg", "png", "gif", "webp", "svg", "ico", "css", "js", "json", "xml", "zip", "gz", "rar", "exe", "msi", "dmg", "apk", "mp3", "mp4", "avi", "mov", "woff")]
+    + [
+        shape_rule("block", "pages:number", r"(?i)^[^/]*/(?:.*/)?page/[0-9]+/?$", "page"),
+        shape_rule("block", "calendar:day", r"(?i)/(?:.*/)?calendar/[0-9]{4}[-/][0-9]{1,2}", "calendar"),
+        shape_rule("block", "session:java", r"(?i);jsessionid=", "jsessionid"),
+        shape_rule("block", "session:php", r"(?i)/phpsessid[=/_-][0-9a-z]{8,}", "phpsessid"),
+        shape_rule("block", "wordpress:admin", r"(?i)/wp-admin(?:/|$)", "wp", "admin"),
+        shape_rule("block", "wordpress:login", r"(?i)/wp-login[.]php$", "wp", "login", "php"),
+        shape_rule("block", "wordpress:files", r"(?i)/wp-(?:content|includes)/", "wp"),
+        shape_rule("block", "wiki:edit", r"(?i)/special:[a-z]+", "special"),
+        shape_rule("block", "forum:reply", r"(?i)/(?:posting|newreply)[.]php$", "php"),
+        # hosts by their shape alone
+        shape_rule("block", "host:number", r"^[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}(?::[0-9]+)?(?:/|$)"),
+        shape_rule("block", "host:hyphens", r"^[^/.]+-[^/.]+-[^/.]+-[^/.]+-[^/.-]+[.]"),
+        shape_rule("block", "host:advert", r"^(?:ad|ads|adserv|banner|banners|click|clicks|pixel|track)[0-9]+[.]"),
+    ]
 )
 
 
@@ -93,27 +117,20 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rules = [*site_rules, *page_rules]
     if len(rules) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
+    spark = pages.sparkSession
     host, path = url_parts(F.col("__url"))
     parts = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("__url")).select("page_id", host.alias("host"), path.alias("path"))
-    keyed = parts.withColumn("__key", F.concat("host", "path")).withColumn("__tokens", _tokens(F.col("__key")))
-
-    asked = sorted({t for r in rules for t in r.tokens})
-    held = keyed.select(F.explode(F.array_intersect("__tokens", F.array(*map(F.lit, asked)))).alias("t")) if asked else None
-    count = {r["t"]: r["count"] for r in held.groupBy("t").count().collect()} if asked else {}  # at most a row for each rule token
-    index: dict[str, list[int]] = {}
-    for i, rule in enumerate(rules):
-        index.setdefault(min(rule.tokens, key=lambda t: (count.get(t, 0), t), default=""), []).append(i)
-
-    if not rules:
-        return parts.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(None).cast("string").alias("pattern"))
-    table = F.array(*(F.struct(F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern"), F.lit(r.site).alias("site"), F.lit(len(r.name) if r.site else 0).alias("rank"), F.lit(-i).alias("turn")) for i, r in enumerate(rules)))
-    filed = F.create_map(*(x for t, ids in sorted(index.items()) for x in (F.lit(t), F.array(*map(F.lit, ids)))))
-    fetched = F.flatten(F.transform(F.array_intersect("__tokens", F.array(*map(F.lit, sorted(index)))), lambda t: F.element_at(filed, t)))
-    fits = F.filter(F.transform(fetched, lambda i: F.element_at(table, i + 1)), lambda r: F.rlike(F.col("__key"), r["pattern"]))
-    best = lambda of: F.array_max(F.transform(of, lambda r: F.struct(r["rank"].alias("rank"), r["turn"].alias("turn"), r["name"].alias("name"), r["verdict"].alias("verdict"))))
-    chosen = keyed.withColumn("__fits", fits).withColumn("__site", best(F.filter("__fits", lambda r: r["site"]))).withColumn("__page", best(F.filter("__fits", lambda r: ~r["site"])))
-    return chosen.select(
-        "page_id", "host", "path", F.col("__site.name").alias("rule"),
-        F.coalesce("__site.verdict", "__page.verdict", F.lit(default)).alias("verdict"),
-        F.when(F.col("__site").isNull(), F.col("__page.name")).alias("pattern"),
+    tokens = parts.select("host", "path", F.explode(_tokens(F.concat("host", "path"))).alias("token"))
+
+    table = spark.createDataFrame([(i, r.name, r.verdict, r.pattern, r.site, len(r.name) if r.site else 0) for i, r in enumerate(rules)], "i long, name string, verdict string, pattern string, site boolean, rank long")
+    asked = spark.createDataFrame([(i, t) for i, r in enumerate(rules) for t in r.tokens or ("",)], "i long, token string")
+    held = tokens.join(F.broadcast(asked.select("token").distinct()), "token").groupBy("token").count()
+    filed = asked.join(held, "token", "left").groupBy("i").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
+    index = table.join(filed, "i")  # a row for each of at most MAX_RULES rules
+
+    fits = tokens.join(F.broadcast(index), "token").where(F.rlike(F.concat("host", "path"), F.col("pattern")))
+    best = lambda of: F.max(F.when(of, F.struct("rank", (-F.col("i")).alias("turn"), "name", "verdict")))
+    found = fits.groupBy("host", "path").agg(best(F.col("site")).alias("site"), best(~F.col("site")).alias("page"))
+    return parts.join(found, ["host", "path"], "left").select(
+        "page_id", "host", "path", F.col("site.name").alias("rule"), F.coalesce("site.verdict", "page.verdict", F.lit(default)).alias("verdict"), F.when(F.col("site").isNull(), F.col("page.name")).alias("pattern")
     )
