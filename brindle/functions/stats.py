@@ -66,10 +66,13 @@ def _by_score(rows: DataFrame, prob: str, label: str) -> DataFrame:
     return rows.where(F.col(prob).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(prob).alias("p")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
 
 
-def _running(points: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
+def _bucket(score: Column, buckets: int = 256) -> Column:
+    return F.floor(score * F.lit(buckets)).cast("long")
+
+
+def _running(points: DataFrame, columns: list[str]) -> DataFrame:
     """points with <column>_before: sums over higher scores p, in two levels so that no one task sorts all."""
-    b = F.floor(F.col("p") * F.lit(buckets)).cast("long")
-    dealt = points.withColumn("__b", b)
+    dealt = points.withColumn("__b", _bucket(F.col("p")))
     order = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
     # a row for each of the buckets
     bases = dealt.groupBy("__b").agg(*(F.sum(c).alias(f"__{c}") for c in columns)).select("__b", *(F.coalesce(F.sum(f"__{c}").over(order), F.lit(0)).alias(f"__{c}") for c in columns))
@@ -101,10 +104,14 @@ def pr_curve(rows: DataFrame, prob: str = "prob", label: str = "label") -> DataF
 def pr_summary(rows: DataFrame, prob: str = "prob", label: str = "label") -> DataFrame:
     """One row: best_threshold by f1, of equals the lowest, best_f1, and pr_auc by trapezoids from recall 0 at precision 1."""
     curve = pr_curve(rows, prob, label)
-    # one row for each distinct score; its order is that of falling thresholds
-    order = Window.orderBy(F.desc("threshold"))
-    lagged = curve.withColumns({"__r": F.coalesce(F.lag("recall").over(order), F.lit(0.0)), "__p": F.coalesce(F.lag("precision").over(order), F.lit(1.0))})
-    area = F.sum((F.col("recall") - F.col("__r")) * (F.col("precision") + F.col("__p")) / 2)
+    # the point before lies in the same bucket of thresholds, or is the last of the buckets before, of which there are few
+    placed = curve.withColumns({"__b": _bucket(F.col("threshold")), "__x": F.struct("recall", "precision")})
+    ends = placed.groupBy("__b").agg(F.min_by("__x", "threshold").alias("__end"))
+    carried = ends.select("__b", F.lag("__end").over(Window.orderBy(F.desc("__b"))).alias("__before"))
+    inside = Window.partitionBy("__b").orderBy(F.desc("threshold"))
+    first = F.struct(F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
+    lagged = placed.join(F.broadcast(carried), "__b").withColumn("__l", F.coalesce(F.lag("__x").over(inside), "__before", first))
+    area = F.sum((F.col("recall") - F.col("__l.recall")) * (F.col("precision") + F.col("__l.precision")) / 2)
     return lagged.agg(F.max_by("threshold", F.struct(F.round("f1", 12), -F.col("threshold"))).alias("best_threshold"), F.max("f1").alias("best_f1"), area.alias("pr_auc"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import asof, asof_small
+from .ranks import quantiles
 
 QUARTERS = ("Q1", "Q2", "Q3", "Q4")
 
@@ -104,7 +105,7 @@ def sane_filings(filings: DataFrame, today: Column, most_days: int = 180) -> tup
 def winsorize(prices: DataFrame, of: str = "change", low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows of positive price and volume with the column clipped to exact quantiles."""
     kept = prices.where("price > 0 and volume > 0")
-    q = kept.agg(F.percentile(of, F.array(F.lit(low), F.lit(high))).alias("__q"))
+    q = quantiles(kept, [of], (low, high)).select(F.col(of).alias("__q"))
     return kept.crossJoin(F.broadcast(q)).withColumn(of, F.greatest(F.least(F.col(of), F.col("__q")[1]), F.col("__q")[0])).drop("__q")  # one row
 
 

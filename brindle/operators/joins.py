@@ -28,20 +28,33 @@ def asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, values:
 SMALL = 200_000
 
 
+def _number(c: Column, kind: str) -> Column:
+    """A time as a number that keeps its order."""
+    return (F.unix_date(c) if kind == "date" else F.unix_micros(c) if kind.startswith("timestamp") else c).cast("double")
+
+
 def asof_small(left: DataFrame, right: DataFrame, left_on: str, right_on: str, values: list[str], order: str | None = None) -> DataFrame:
-    """The same without keys, for a right side of at most SMALL rows: each left row looks it up by binary search.
+    """The same without keys, for a right side of at most SMALL rows, which all executors get; over that bound it is the windowed join.
 
-    Over that bound it is the windowed join.
+    The time from the first to the last right row is cut into as many slots as there are rows. Each row is filed under the slots up to the row
+    after it, about two for each; a left row looks its own slot up by a hash join.
     """
     ticks = right.where(F.col(right_on).isNotNull())
     if ticks.limit(SMALL + 1).count() > SMALL:
         return asof(left, right, left_on, right_on, values, order=order)
     last = Window.partitionBy(right_on).orderBy(F.desc(order) if order else F.lit(0))
-    rows = ticks.withColumn("__r", F.row_number().over(last)).where("__r = 1").orderBy(right_on).select(F.col(right_on).alias("from"), *values)
-    until = F.lead("from").over(Window.orderBy("from"))
-    # intervals of a few bounded rows: the equal-or-after side is found among them
-    table = F.broadcast(rows.withColumn("until", until))
-    return left.join(table, (F.col(left_on) >= F.col("from")) & (F.col("until").isNull() | (F.col(left_on) < F.col("until"))), "left").drop("from", "until")
+    rows = ticks.withColumn("__r", F.row_number().over(last)).where("__r = 1").select(F.col(right_on).alias("from"), *values)
+    kinds = dict(rows.dtypes)["from"], dict(left.dtypes)[left_on]
+    ends = rows.agg(F.min(_number(F.col("from"), kinds[0])).alias("low"), F.max(_number(F.col("from"), kinds[0])).alias("high"), F.count("*").alias("n")).first()
+    low, n = ends["low"] or 0.0, max(1, ends["n"])
+    width = ((ends["high"] or 0.0) - low) / n or 1.0
+    slot = lambda x: F.least(F.greatest(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(-1)), F.lit(n)).cast("int")
+    # a window over the few rows of the small side
+    until = rows.withColumn("until", F.lead("from").over(Window.orderBy("from")))
+    slots = F.sequence(slot(_number(F.col("from"), kinds[0])), F.coalesce(slot(_number(F.col("until"), kinds[0])), F.lit(n)))
+    table = F.broadcast(until.withColumn("__slot", F.explode(slots)))
+    asked = left.withColumn("__slot", slot(_number(F.col(left_on), kinds[1])))
+    return asked.join(table, (asked["__slot"] == table["__slot"]) & (F.col(left_on) >= F.col("from")) & (F.col("until").isNull() | (F.col(left_on) < F.col("until"))), "left").drop("from", "until", "__slot")
 
 
 def within_interval(left: DataFrame, right: DataFrame, start: Column, end: Column, at: str, by: list[str], bucket_days: int = 366) -> DataFrame:

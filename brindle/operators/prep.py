@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from .fundamentals import finite
+from .ranks import quantiles, ranked
+from .vectors import nearest
 
 # Numbers that stand for missing ones, and columns that are no features.
 PLACEHOLDERS = (-1.0, -999.0, 999.0, -9999.0, 9999.0)
@@ -56,7 +56,7 @@ def placeholders_to_null(rows: DataFrame, columns: list[str], values: tuple[floa
 
 def iqr_bounds(rows: DataFrame, columns: list[str], whisker: float = 1.5) -> DataFrame:
     """One row with an array (low, high) for each column: quartiles less and plus the whisker's share of their range."""
-    quarts = rows.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns))
+    quarts = quantiles(rows, columns, (0.25, 0.75))
     return quarts.select(*(F.array(F.col(c)[0] - whisker * (F.col(c)[1] - F.col(c)[0]), F.col(c)[1] + whisker * (F.col(c)[1] - F.col(c)[0])).alias(c) for c in columns))
 
 
@@ -112,51 +112,35 @@ def class_report(rows: DataFrame, label: str, columns: list[str]) -> DataFrame:
 
 
 def oversample(rows: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
-    """Every row, and those of smaller classes again until all classes are as large; which repeat more goes by a hash of the key."""
-    sizes = rows.groupBy(label).agg(F.count("*").alias("__n"))
-    most = sizes.agg(F.max("__n").alias("__m"))
-    order = Window.partitionBy(label, "__b").orderBy("__h", key)
-    # ranks within a class in two levels, so that no task has a whole class
-    hashed = rows.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("__b", F.shiftright("__h", 56))
-    counts = hashed.groupBy(label, "__b").agg(F.count("*").alias("__c"))
-    base = counts.select(label, "__b", (F.sum("__c").over(Window.partitionBy(label).orderBy("__b")) - F.col("__c")).alias("__base"))
-    ranked = hashed.join(base, [label, "__b"]).withColumn("__r", F.col("__base") + F.row_number().over(order) - 1)
+    """Every row, and those of smaller classes again until all classes are as large; which repeat more goes by a checksum of the key."""
+    most = rows.groupBy(label).count().agg(F.max("count").alias("__m"))
     times = F.floor(F.col("__m") / F.col("__n")) + F.when(F.col("__r") < F.col("__m") % F.col("__n"), 1).otherwise(0)
-    sized = ranked.join(F.broadcast(sizes.crossJoin(most)), label).withColumn("__t", times.cast("int"))  # a row for each class
+    sized = ranked(rows, [label], key, seed).crossJoin(F.broadcast(most)).withColumn("__t", times.cast("int"))  # one row
     return sized.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__t") - 1))).select(*(F.col(f"`{c}`") for c in rows.columns), "copy")
 
 
-def smote(rows: DataFrame, label: str, minority: int, columns: list[str], key: str, need: int, k: int = 5, seed: int = 42, block_rows: int = 4096) -> DataFrame:
+def smote(rows: DataFrame, label: str, minority: int, columns: list[str], key: str, need: int | None = None, k: int = 5, seed: int = 42) -> DataFrame:
     """`need` new rows of the smaller class, each between a row and one of its k nearest neighbours in that class.
 
-    Neighbours are exact within blocks that a hash deals; up to block_rows rows there is one. Which row, neighbour and point
-    between go by hashes.
+    need: by default as many as make the class as large as all others together. Neighbours are exact at any size. Each row has as many new ones as
+    any other but for the rest, which goes by ranks of the key; neighbour and point between go by hashes.
+    Keys are to be unique and not null; rows with a null in one of the columns take no part; a class of one row has no new ones.
     """
-    own = rows.where(F.col(label) == minority).select(F.col(key).cast("long").alias("__k"), F.array(*(F.col(c).cast("double") for c in columns)).alias("__v"))
+    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(label) == minority).count().collect()}  # at most three rows
+    own = rows.where(F.col(label) == minority).select(F.col(key).cast("long").alias("id"), F.array(*(F.col(f"`{c}`").cast("double") for c in columns)).alias("v"))
+    own = own.where(~F.exists("v", lambda x: x.isNull()))
     n = own.count()
+    need = sizes.get(False, 0) - sizes.get(True, 0) if need is None else need
     if n < 2 or need <= 0:
         return rows.sparkSession.createDataFrame([], f"{key} long, {label} int, " + ", ".join(f"{c} double" for c in columns))
-    blocks = max(1, n // block_rows)
-    share = -(-need // n)
-
-    def per_block(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("__k", kind="stable")
-        x, keys = np.stack(part["__v"].to_list()), part["__k"].to_numpy(np.int64)
-        out = []
-        for a in range(0, len(x), 1024):
-            far = ((x[a : a + 1024, None, :] - x[None, :, :]) ** 2).sum(axis=2) if len(x) <= 1024 else (x[a : a + 1024] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[a : a + 1024] @ x.T
-            far[np.arange(len(far)), np.arange(a, a + len(far))] = np.inf
-            near = np.argsort(far, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
-            for i in range(len(far)):
-                rng = np.random.default_rng([seed, int(keys[a + i]) & 0x7FFFFFFFFFFFFFFF])
-                for turn in range(share):
-                    j = near[i, rng.integers(near.shape[1])] if near.shape[1] else a + i
-                    out.append((keys[a + i], turn, (x[a + i] + rng.random() * (x[j] - x[a + i])).tolist()))
-        return pd.DataFrame(out, columns=["source", "turn", "v"])
-
-    made = own.withColumn("__b", F.pmod(F.xxhash64("__k"), F.lit(blocks))).groupBy("__b").applyInPandas(per_block, "source long, turn int, v array<double>")
-    kept = made.withColumn("__h", F.xxhash64("source", "turn", F.lit(seed))).orderBy("turn", "__h").limit(need)
-    return kept.select(F.col("source").alias(key), F.lit(minority).alias(label), *(F.col("v")[i].alias(c) for i, c in enumerate(columns)))
+    near = nearest(own, own, min(k, n - 1), "euclidean", others=True).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour"))).alias("near"))
+    turns = ranked(own, [], "id", seed).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(need // n)))).where((F.col("turn") < need // n) | (F.col("__r") < need % n))
+    hashed = lambda tag: F.xxhash64("id", "turn", F.lit(seed), F.lit(tag))
+    chosen = turns.join(near, turns["id"] == near["q"]).withColumn("other", F.get("near", F.pmod(hashed("row"), F.size("near")).cast("int"))["neighbour"])
+    u = F.pmod(hashed("point"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    other = own.select(F.col("id").alias("other"), F.col("v").alias("w"))
+    made = chosen.join(other, "other").select("id", F.zip_with("v", "w", lambda a, b: a + u * (b - a)).alias("v"))
+    return made.select(F.col("id").alias(key), F.lit(minority).alias(label), *(F.col("v")[i].alias(c) for i, c in enumerate(columns)))
 
 
 @dataclass
@@ -217,6 +201,9 @@ def padded(values: Column, length: int, fill: int = 0) -> Column:
 
 
 def stratified_split(docs: DataFrame, label: str, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """docs with split train or test: of each label that share of the documents, by a hash of the key."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    return docs.withColumn("split", F.when(F.percent_rank().over(order) < share, "train").otherwise("test"))
+    """docs with split train or test: of each label that share of the documents, by a checksum of the key.
+
+    A label of one document has it in train; null labels are a class; repeated rows are dealt each.
+    """
+    place = F.when(F.col("__n") > 1, F.col("__r") / (F.col("__n") - 1)).otherwise(0.0)
+    return ranked(docs, [label], key, seed).withColumn("split", F.when(place < share, "train").otherwise("test")).drop("__r", "__n")

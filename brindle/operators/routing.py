@@ -75,9 +75,9 @@ def read_answers(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
     return read.select("*", *(F.when(good, F.col(f"__a.{k}")).otherwise(F.lit(f)).alias(k) for k, f in zip(("topic", "explanation", "probability"), FAILED, strict=True))).drop("__a")
 
 
-def latest(answers: DataFrame, key: str = "sentence_index", order: str = "position") -> DataFrame:
-    """The last answer of each key: those of a repeated run replace earlier ones."""
-    last = Window.partitionBy(key).orderBy(F.desc(order))
+def latest(answers: DataFrame, key: str = "sentence_index", order: tuple[str, ...] = ("written", "file", "position")) -> DataFrame:
+    """The last answer of each key: those of a repeated run replace earlier ones. Columns of the order that answers don't have are passed over."""
+    last = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order if c in answers.columns))
     return answers.withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r")
 
 

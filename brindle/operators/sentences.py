@@ -63,7 +63,15 @@ def topic_texts(found: DataFrame, keys: tuple[str, ...] = ("doc_id", "topic"), o
     return found.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x[text]), "; ").alias("text")).withColumn("topic_name", topic_name(F.col("topic")))
 
 
-def keyword_topics(found: DataFrame, text: str = "sentence", keywords: tuple[tuple[str, ...], ...] = TOPIC_KEYWORDS) -> DataFrame:
-    """With the ids of the topics of which a keyword is in the text."""
-    hits = F.array(*(F.when(F.lower(F.col(text)).rlike("|".join(k.replace("&", "\\&") for k in words)), F.lit(i)) for i, words in enumerate(keywords)))
-    return found.withColumn("topics", F.filter(hits, lambda x: x.isNotNull()))
+def keyword_topics(found: DataFrame, text: str = "sentence", keywords: tuple[tuple[str, ...], ...] = TOPIC_KEYWORDS, blacklist: tuple[str, ...] = (), exclusions: dict[int, tuple[str, ...]] | None = None) -> DataFrame:
+    """With topics, the ids of those of which a keyword is in the text, in either case.
+
+    blacklist: parts of words that are no keywords whatever they hold: they are taken out before keywords are looked for. exclusions: words by
+    topic that rule the topic out. Both lists are the caller's, as a table of their own may hold them. Null texts have null topics.
+    """
+    lower = F.lower(F.col(text))
+    seen = F.regexp_replace(lower, "|".join(f"\\Q{w.lower()}\\E" for w in sorted(blacklist, key=lambda w: (-len(w), w))), "") if blacklist else lower
+    holds = lambda of, words: of.rlike("|".join(f"\\Q{w.lower()}\\E" for w in words))
+    out = exclusions or {}
+    hits = F.array(*(F.when(holds(seen, words) & (~holds(lower, out[i]) if out.get(i) else F.lit(True)), F.lit(i)) for i, words in enumerate(keywords)))
+    return found.withColumn("topics", F.when(F.col(text).isNotNull(), F.filter(hits, lambda x: x.isNotNull())))

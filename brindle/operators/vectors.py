@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -74,69 +76,120 @@ def intratopic_cosine(vectors: DataFrame, of: DataFrame, label_col: str = "label
     return joined.groupBy("topic").agg(F.count("*").alias("n"), F.avg(cosine(F.col(vector_col), F.col("centroid"))).alias("cosine"))
 
 
-def nearest_labelled(vectors: DataFrame, labelled: DataFrame, k: int = 2, id_col: str = "vec_id", vector_col: str = "embedding", payload: str = "label", block_rows: int = 4096) -> DataFrame:
-    """(id, rank, neighbour, payload, distance): the k labelled rows at the least cosine distance; ties by id.
+#: Numbers in a labelled side that may be sent to all executors.
+MOST_SENT = 8_000_000
+#: Rows of a block where both sides are cut.
+BLOCK_ROWS = 16_384
 
-    Exact. Both sides are cut into blocks, pairs of blocks are tasks that return the k best of each row,
-    and those are merged; neither side has to fit anywhere as a whole.
-    """
-    qn, ln = vectors.count(), labelled.count()
-    qb, lb = max(1, -(-qn // block_rows)), max(1, -(-ln // block_rows))
-    q = vectors.select(F.col(id_col).cast("long").alias("q"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("x", F.pmod(F.xxhash64("q"), F.lit(qb)).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(lb - 1))))
-    kind = dict(labelled.dtypes)[payload]
-    lab = labelled.select(F.col(id_col).cast("long").alias("n"), F.col(payload).alias("p"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("y", F.pmod(F.xxhash64("n"), F.lit(lb)).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"q": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "payload": right["p"][:0], "distance": pd.Series(dtype=float)})
-        right = right.sort_values("n", kind="stable")
-        a, b = np.stack(left["v"].to_list()), np.stack(right["v"].to_list())
-        a, b = a / np.linalg.norm(a, axis=1)[:, None], b / np.linalg.norm(b, axis=1)[:, None]
-        far = 1 - a @ b.T
-        at = np.argsort(far, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(a)), at.shape[1])
-        return pd.DataFrame({"q": left["q"].to_numpy()[rows], "neighbour": right["n"].to_numpy()[at.ravel()], "payload": right["p"].to_numpy()[at.ravel()], "distance": far[rows, at.ravel()]})
-
-    some = q.groupBy("x", "y").cogroup(lab.groupBy("x", "y")).applyInPandas(best, f"q long, neighbour long, payload {kind}, distance double")
+def _top(a: np.ndarray, ids: np.ndarray, b: np.ndarray, others_ids: np.ndarray, k: int, metric: str, others: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance) of the k nearest of b to each of a; b is in order of its ids, which break ties."""
+    if metric == "cosine":
+        a, b = (x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None] for x in (a, b))
+    step, out = max(1, 4_000_000 // max(1, len(b))), []
+    for at in range(0, len(a), step):
+        x = a[at : at + step]
+        if metric == "cosine":
+            far = 1 - x @ b.T
+        else:
+            far = sum(((x[:, None, i] - b[None, :, i]) ** 2 for i in range(1, x.shape[1])), (x[:, None, 0] - b[None, :, 0]) ** 2)
+        if others:
+            far[ids[at : at + step, None] == others_ids[None, :]] = np.inf
+        best = np.argsort(np.round(far, 12), axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(x)), best.shape[1])
+        found = far[rows, best.ravel()]
+        fit = np.isfinite(found)
+        out.append((rows[fit] + at, best.ravel()[fit], found[fit]))
+    return tuple(np.concatenate(p) for p in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, metric: str = "cosine", others: bool = False) -> DataFrame:
+    """(q, rank, neighbour, distance): the k rows (id, v) of right at the least cosine, or squared euclidean, distance to each of left; ties by id.
+
+    Exact. others: rows of a row's own id don't count. A right side of at most MOST_SENT numbers is sent to all executors, so that left is only read;
+    of a larger one pairs of blocks are tasks that return the k best of each row, and these are merged.
+    Rows with a null id or vector take no part.
+    """
+    left, right = (df.where("id is not null and v is not null") for df in (left, right))
+    size = right.agg(F.count("*").alias("n"), F.sum(F.size("v")).alias("m")).first()
+    schema = "q long, neighbour long, distance double"
+
+    def best(ids: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        x, y, d = _top(a, ids, b, other, k, metric, others)
+        return pd.DataFrame({"q": ids[x], "neighbour": other[y], "distance": d})
+
+    empty = pd.DataFrame({"q": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "distance": pd.Series(dtype=float)})
+    if (size["m"] or 0) <= MOST_SENT:
+        sent = right.select("id", F.col("v").cast("array<double>").alias("v")).orderBy("id").toPandas()  # bounded by MOST_SENT
+        held = left.sparkSession.sparkContext.broadcast((sent["id"].to_numpy(np.int64), np.stack(sent["v"].to_list()) if len(sent) else None))
+
+        def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            other, b = held.value
+            for batch in batches:
+                yield best(batch["id"].to_numpy(np.int64), np.stack(batch["v"].to_list()), other, b) if b is not None and len(batch) else empty
+
+        some = left.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).mapInPandas(look_up, schema)
+    else:
+        qb, lb = max(1, -(-left.count() // BLOCK_ROWS)), max(1, -(-size["n"] // BLOCK_ROWS))
+        deal = lambda df, own, n, other, m: df.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+        def per_pair(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+            if one.empty or two.empty:
+                return empty
+            two = two.sort_values("id", kind="stable")
+            return best(one["id"].to_numpy(np.int64), np.stack(one["v"].to_list()), two["id"].to_numpy(np.int64), np.stack(two["v"].to_list()))
+
+        some = deal(left, "x", qb, "y", lb).groupBy("x", "y").cogroup(deal(right, "y", lb, "x", qb).groupBy("x", "y")).applyInPandas(per_pair, schema)
     order = Window.partitionBy("q").orderBy(F.round("distance", 12), "neighbour")
-    return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("q").alias(id_col), "rank", "neighbour", F.col("payload").alias(payload), "distance")
+    return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "rank", "neighbour", "distance")
+
 
+def nearest_labelled(vectors: DataFrame, labelled: DataFrame, k: int = 2, id_col: str = "vec_id", vector_col: str = "embedding", payload: str = "label", others: bool = False) -> DataFrame:
+    """(id, rank, neighbour, payload, distance): the k labelled rows at the least cosine distance, by `nearest`; others: not itself."""
+    sides = (df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")) for df in (vectors, labelled))
+    found = nearest(*sides, k, others=others)
+    said = labelled.select(F.col(id_col).cast("long").alias("neighbour"), F.col(payload).alias("__p"))
+    return found.join(said, "neighbour").select(F.col("q").alias(id_col), "rank", "neighbour", F.col("__p").alias(payload), "distance")
 
-def silhouettes(vectors: DataFrame, folds: int = 20, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", metric: str = "euclidean") -> DataFrame:
+
+def silhouettes(vectors: DataFrame, folds: int = 20, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", metric: str = "euclidean", block_rows: int = 8192) -> DataFrame:
     """(id, label, fold, silhouette): computed inside folds that are stratified by label.
 
-    Folds are dealt in turn by a hash of the id in each label. A row alone in its label has 0. Each
-    fold is one task, whose rows are to fit in memory: more folds make it smaller.
+    Folds are dealt in turn by a checksum of the id in each label. A row alone in its label has 0. A fold's pairs of blocks are tasks that
+    add up distances by label, so a fold may be of any size. Ids are to be unique.
     """
-    order = Window.partitionBy(label_col).orderBy(F.crc32(F.col(id_col).cast("string")), id_col)
-    dealt = vectors.select(F.col(id_col), F.col(label_col), F.col(vector_col).cast("array<double>").alias("v")).withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
-
-    def per_fold(part: pd.DataFrame) -> pd.DataFrame:
-        x, lab = np.stack(part["v"].to_list()), part[label_col].to_numpy()
-        names, code = np.unique(lab, return_inverse=True)
-        member = np.eye(len(names))[code]
-        size = member.sum(axis=0)
-        out = np.zeros(len(x))
-        if metric == "cosine":
-            x = x / np.linalg.norm(x, axis=1)[:, None]
-        for a in range(0, len(x), 1024):
-            y = x[a : a + 1024]
-            if metric == "cosine":
-                far = 1 - y @ x.T
-            else:
-                far = np.sqrt(np.maximum(((y[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0)) if len(x) * y.size < 5e7 else np.sqrt(np.maximum((y**2).sum(1)[:, None] + (x**2).sum(1) - 2 * y @ x.T, 0))
-            sums, own = far @ member, code[a : a + 1024]
-            rows = np.arange(len(y))
-            inner = sums[rows, own] / np.maximum(size[own] - 1, 1)
-            means = sums / size
-            means[rows, own] = np.inf
-            outer = means.min(axis=1)
-            score = (outer - inner) / np.maximum(outer, inner)
-            out[a : a + 1024] = np.where((size[own] > 1) & np.isfinite(outer), np.nan_to_num(score), 0.0)
-        return pd.DataFrame({id_col: part[id_col], label_col: part[label_col], "fold": part["fold"], "silhouette": out})
-
     kinds = dict(vectors.dtypes)
-    return dealt.groupBy("fold").applyInPandas(per_fold, f"{id_col} {kinds[id_col]}, {label_col} {kinds[label_col]}, fold int, silhouette double")
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("lab"), F.col(vector_col).cast("array<double>").alias("v"))
+    dealt = ranked(rows, ["lab"], "id").withColumn("fold", (F.col("__r") % folds).cast("int")).drop("__r", "__n")
+    sizes = dealt.groupBy("fold", "lab").agg(F.count("*").alias("n"))
+    tiles = sizes.groupBy("fold").agg(F.ceil(F.sum("n") / F.lit(block_rows)).cast("int").alias("g"))
+    # a row for each fold
+    placed = dealt.join(F.broadcast(tiles), "fold").withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    # named anew, so that the two sides of one table differ
+    side = lambda x, y: placed.select(F.col(x).alias("x"), F.col(y).alias("y"), *(F.col(c).alias(c) for c in ("fold", "id", "lab", "v")))
+    one, two = side("own", "other"), side("other", "own")
+
+    def per_pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"id": left["id"][:0], "lab": left["lab"][:0], "fold": left["fold"][:0], "of": left["lab"][:0], "total": pd.Series(dtype=float)})
+        x, y = np.stack(left["v"].to_list()), np.stack(right["v"].to_list())
+        if metric == "cosine":
+            x, y = (m / np.linalg.norm(m, axis=1)[:, None] for m in (x, y))
+        names, code = np.unique(right["lab"].to_numpy(), return_inverse=True)
+        member, step, sums = np.eye(len(names))[code], max(1, 4_000_000 // len(y)), []
+        for a in range(0, len(x), step):
+            z = x[a : a + step]
+            far = 1 - z @ y.T if metric == "cosine" else np.sqrt(sum(((z[:, None, i] - y[None, :, i]) ** 2 for i in range(1, z.shape[1])), (z[:, None, 0] - y[None, :, 0]) ** 2))
+            sums.append(far @ member)
+        m = len(names)
+        return pd.DataFrame({"id": np.repeat(left["id"].to_numpy(), m), "lab": np.repeat(left["lab"].to_numpy(), m), "fold": np.repeat(left["fold"].to_numpy(), m), "of": np.tile(names, len(x)), "total": np.concatenate(sums).ravel()})
+
+    found = one.groupBy("fold", "x", "y").cogroup(two.groupBy("fold", "x", "y")).applyInPandas(per_pair, f"id {kinds[id_col]}, lab {kinds[label_col]}, fold int, of {kinds[label_col]}, total double")
+    totals = found.groupBy("id", "lab", "fold", "of").agg(F.sum("total").alias("total")).join(sizes.withColumnRenamed("lab", "of"), ["fold", "of"])
+    own = F.col("of") == F.col("lab")
+    sides = totals.groupBy("id", "lab", "fold").agg(F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
+    score = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    return sides.select(F.col("id").alias(id_col), F.col("lab").alias(label_col), "fold", score.alias("silhouette"))
 
 
 def infer(rows: DataFrame, load: Callable[[], Callable[[pd.Series], np.ndarray]], input_col: str, out: str, kind: str = "array<double>") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import models, prep
-from .registry import Registry, table
+from .registry import CRC, Registry, crc, table
 
 REGISTRY = Registry()
 
@@ -81,20 +81,30 @@ def oversample_random(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add()
 def smote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir).fillna(0.0)
-    return prep.smote(rows, "target", 1, _COLUMNS, "id", need=500)
+    return prep.smote(_rows(spark, sf_dir).fillna(0.0), "target", 1, _COLUMNS, "id")
 
 
-@REGISTRY.add()
+def _prepared(scaled: bool) -> str:
+    """SQL of the steps in order: rows, split, placeholders, outliers by train, columns, zeros, scaling."""
+    each = lambda f: ", ".join(f(c) for c in _COLUMNS)
+    bad = lambda c: f"(CASE WHEN {c} IS NULL OR {c} IN (0, -1) THEN 1.0 ELSE 0.0 END)"
+    end = each(lambda c: f"round((coalesce({c}, 0) - m.{c}m) / m.{c}s, 8) AS {c}" if scaled else f"round({c}, 8) AS {c}")
+    return f"""WITH {_ROWS}, good AS (SELECT * FROM rows WHERE ({_BAD}) / 3.0 < 0.6),
+    held AS (SELECT id, year, target, {each(lambda c: f"CASE WHEN {c} NOT IN (-1, 999, -999, 9999, -9999) THEN {c} END AS {c}")} FROM good), q AS (SELECT {_QUART} FROM held WHERE year < 2030),
+    clipped AS (SELECT id, year, target, {_CLIP} FROM held, q), m AS (SELECT {each(lambda c: f"avg(coalesce({c}, 0)) AS {c}m, stddev_pop(coalesce({c}, 0)) AS {c}s, avg{bad(c)} AS {c}b")} FROM clipped WHERE year < 2030)
+    SELECT id, target, {end} FROM clipped, m WHERE year >= 2030 AND {" AND ".join(f"m.{c}b < 0.5" for c in _COLUMNS)}"""
+
+
+@REGISTRY.add(_prepared(True))
 def prep_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, test, columns = prep.Preparation(first_test_year=2030, columns=_COLUMNS).run(_rows(spark, sf_dir))
-    return test.select("id", "target", *columns)
+    return test.select("id", "target", *(F.round(c, 8).alias(c) for c in columns))
 
 
-@REGISTRY.add()
+@REGISTRY.add(_prepared(False))
 def prep_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, test, columns = prep.tree_preparation(first_test_year=2030, columns=_COLUMNS).run(_rows(spark, sf_dir))
-    return test.select("id", "target", *columns)
+    return test.select("id", "target", *(F.round(c, 8).alias(c) for c in columns))
 
 
 @REGISTRY.add(
@@ -118,10 +128,12 @@ def one_hot_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", prep.one_hot(F.col("turn") % 4, 4).alias("hot"), prep.padded(F.array(F.col("turn").cast("int"), F.lit(7)), 5).alias("padded"))
 
 
-@REGISTRY.add("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+@REGISTRY.add(
+    f"""WITH RECURSIVE {CRC}, crc AS (SELECT doc_id, lang, {crc('doc_id')} AS h FROM documents, tab), placed AS (SELECT *, percent_rank() OVER (PARTITION BY lang ORDER BY h, doc_id) AS r FROM crc)
+    SELECT doc_id, lang, CASE WHEN r < 0.8 THEN 'train' ELSE 'test' END AS split FROM placed"""
+)
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = prep.stratified_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id")
-    return got.groupBy("lang").agg(F.count("*").alias("n"))
+    return prep.stratified_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id")
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,13 +146,13 @@ def topic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REGISTRY.add(
-    r"""WITH hits(topic, words) AS (VALUES (0, 'sale|revenue|consumer|demand|competition|pricing'), (1, 'cost|expense|goodwill|impairment|depreciat'),
-    (2, 'profit|margin|income|earning|loss|ebit|operatingresult|financialresult|yearendresult'))
-    SELECT doc_id, (SELECT count(*) FROM hits WHERE regexp_matches(lower(text), words))::INT AS n_topics FROM documents"""
+    f"""WITH words(topic, word) AS (VALUES {", ".join(f"({i}, '{w}')" for i, words in enumerate(sentences.TOPIC_KEYWORDS) for w in words)}),
+    hits AS (SELECT DISTINCT doc_id, topic FROM documents JOIN words ON contains(replace(replace(lower(text), 'disclosure', ''), 'processor', ''), word) WHERE NOT (topic = 3 AND contains(lower(text), 'fertil')))
+    SELECT doc_id, coalesce((SELECT list(topic ORDER BY topic) FROM hits WHERE hits.doc_id = documents.doc_id), []) AS topics FROM documents"""
 )
 def keyword_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sentences.keyword_topics(table(spark, sf_dir, "documents"), "text", sentences.TOPIC_KEYWORDS[:3])
-    return found.select("doc_id", F.size("topics").alias("n_topics"))
+    found = sentences.keyword_topics(table(spark, sf_dir, "documents"), "text", blacklist=("disclosure", "processor"), exclusions={3: ("fertil",)})
+    return found.select("doc_id", "topics")
 
 
 _TOKENS = """tokens AS (SELECT lang AS topic, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: len(w) >= 2)) AS token FROM documents),

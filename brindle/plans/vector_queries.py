@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import routing, vectors
-from .registry import Registry, table
+from .registry import CRC, Registry, crc, table
 
 REGISTRY = Registry()
 
@@ -59,15 +59,15 @@ def intratopic_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KNN = """far AS (SELECT q.vec_id, n.vec_id AS neighbour, n.label, 1 - list_cosine_similarity(q.embedding::DOUBLE[], n.embedding::DOUBLE[]) AS distance
-  FROM embeddings q JOIN embeddings n ON q.vec_id % 2 = 0 AND n.vec_id % 2 = 1),
+  FROM embeddings q JOIN embeddings n ON q.vec_id % 50 = 0 AND n.vec_id <> q.vec_id),
 near AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(distance, 12), neighbour)::INT AS rank FROM far)"""
 
 
 @REGISTRY.add(f"WITH {_KNN} SELECT vec_id, rank, neighbour, label, round(distance, 9) AS distance FROM near WHERE rank <= 2")
 def knn_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The even ids ask, the odd ones are the labelled rows: two roles of one table."""
+    """Rows of ids divisible by 50 ask for the nearest of all other rows."""
     v = _vectors(spark, sf_dir)
-    return vectors.nearest_labelled(v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1"), 2).withColumn("distance", F.round("distance", 9))
+    return vectors.nearest_labelled(v.where("vec_id % 50 = 0"), v, 2, others=True).withColumn("distance", F.round("distance", 9))
 
 
 @REGISTRY.add(
@@ -76,7 +76,7 @@ def knn_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def knn_example_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    near = vectors.nearest_labelled(v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1"), 2)
+    near = vectors.nearest_labelled(v.where("vec_id % 50 = 0"), v, 2, others=True)
     return routing.examples_text(near.withColumn("text", F.concat(F.lit("vector "), F.col("neighbour").cast("string"))), topic="label")
 
 
@@ -84,12 +84,8 @@ _FOLDS = 5
 
 
 @REGISTRY.add(
-    f"""WITH RECURSIVE byte AS (SELECT range AS b FROM range(256)),
-    step(b, k, c) AS (SELECT b, 0, b FROM byte UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
-    tab AS (SELECT list(c ORDER BY b) AS t FROM step WHERE k = 8),
-    crc AS (SELECT vec_id, label, embedding::DOUBLE[] AS e,
-      xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(vec_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)),
-        lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM embeddings, tab),
+    f"""WITH RECURSIVE {CRC},
+    crc AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, {crc('vec_id')} AS h FROM embeddings, tab),
     dealt AS (SELECT *, ((row_number() OVER (PARTITION BY label ORDER BY h, vec_id) - 1) % {_FOLDS})::INT AS fold FROM crc),
     far AS (SELECT a.vec_id, a.label, a.fold, b.label AS other, avg(list_distance(a.e, b.e)) FILTER (b.vec_id <> a.vec_id) AS d, count(*) FILTER (b.vec_id <> a.vec_id) AS n
       FROM dealt a JOIN dealt b ON a.fold = b.fold GROUP BY ALL),

@@ -16,14 +16,14 @@ FILING = "archive string, entry string, text string"
 ANSWERS = "sentence_index long, sentence string, prompt string, topic string, explanation string, probability int"
 
 
-def read_archives(spark: SparkSession, path: str, name_has: str = "_10-K_", suffix: str = "*.zip", most_bytes: int = 1 << 31) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, name_has: str = "_10-K_", suffix: str = "*.zip") -> DataFrame:
     """(archive, entry, text): a row for each member of the zip files whose name has the keyword, decoded as UTF-8.
 
-    Files of other sizes than Spark's reader allows are an error. Members are read one at a time; an archive is one
+    An archive beyond spark.sql.sources.binaryFile.maxLength is an error, none is left out. Members are read one at a time; an archive is one
     task, as zip files can't be split.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").load(path)
-    files = files.where(F.col("length") <= most_bytes).select("path", "content")
+    files = files.select("path", "content")
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -37,9 +37,13 @@ def read_archives(spark: SparkSession, path: str, name_has: str = "_10-K_", suff
 
 
 def read_answers(spark: SparkSession, path: str, schema: str = ANSWERS) -> DataFrame:
-    """Answers from JSON lines, with file and position, so that the latest of repeated ones can be told."""
+    """Answers from JSON lines, with written, file and position, in this order of which later ones replace earlier ones.
+
+    position: where the line's part of the file begins, and the line's number in it.
+    """
     rows = spark.read.schema(schema).json(path)
-    return rows.select("*", F.col("_metadata.file_modification_time").alias("written"), F.monotonically_increasing_id().alias("position"))
+    at = F.struct(F.col("_metadata.file_block_start").alias("begins"), F.monotonically_increasing_id().alias("line"))
+    return rows.select("*", F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_name").alias("file"), at.alias("position"))
 
 
 def append_answers(answers: DataFrame, path: str) -> None:
