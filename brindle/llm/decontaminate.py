@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _OTHER = re.compile(r"[\W_]+")
+#: Characters of an item in normal form, with the spaces around, under which it matches nothing: `yes` or `42` is in most texts, copied or not.
+LEAST_ITEM = 18
 #: Characters of test items that one automaton may hold, and so one broadcast; more are taken in turns.
 ITEM_CHARS = 8_000_000
 
@@ -73,6 +75,8 @@ class Matcher:
         self.items, self.errors = [], []
         held: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
+            if len(text) < LEAST_ITEM:
+                continue
             # the spaces around count as characters: an item begins and ends with whole words where it has no edits
             errors = budget(len(text) - 2, rate)
             for at, piece in pieces(text, errors):
@@ -123,8 +127,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     int(rate * length of the item) edits of the item. Each pair is one row, with the least
     distance and where in the normal form that first ends.
 
-    Null, empty and wordless documents and items match nothing. Texts are read whole at any length. Equal items
-    are matched each on their own; repeated documents are reported each. Empty tables give no
+    Null, empty and wordless documents and items match nothing, nor do items under LEAST_ITEM characters in normal form. Texts are read whole at any length. Equal items
+    are matched each on their own, and of equally near places the first counts; repeated documents are reported each. Empty tables give no
     rows, and other columns are ignored, of whatever names.
     """
     spark = docs.sparkSession
@@ -152,7 +156,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.06, **columns: str) -> DataFrame:
     """The rows of docs that hold no test item, with their columns; in one pass, without a join.
 
-    Defined as in contaminated(); rows of null or empty text stay.
+    Defined as in contaminated(): rows of null or empty text stay, and so do those of a null id that hold no item; repeated rows stay or go
+    together. Empty tables give no rows, or all; other columns are kept, of whatever names.
     """
     spark = docs.sparkSession
     item_id, item_text = columns.get("item_id_col", "item_id"), columns.get("item_text_col", "text")

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 
 def statistics(text: Column) -> dict[str, Column]:
-    """The statistics of a text that rules compare, as columns; an empty or null text has zeros."""
+    """The statistics of a text that rules compare, as columns.
+
+    An empty or null text is one empty word in one empty line: words, distinct_words and distinct_lines count these, all others are 0.
+    """
     text = F.coalesce(text.cast("string"), F.lit(""))
     chars = F.length(text)
     words = F.split(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), " ")
@@ -221,7 +224,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     score is from 0 to 1, higher where label 1 is likelier; predicted is 1 from 0.5 on. Learnt as
     in fit_quality, from the text alone.
 
-    A null or empty text gets the score of its all-zero statistics; texts count whole at any length. Rows
+    A null or empty text gets the score of its statistics, those of one empty word; texts count whole at any length. Rows
     without a label, and labels other than 0 and 1, are scored and not learnt from; a repeated row
     is returned each time, and each of an id's labels counts. Rows of a null id are scored. An
     empty table gives no rows; with no labels the score is 0.5. Columns of other names are ignored.
@@ -232,6 +235,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the classifier predicts as 1, with their columns."""
+    """The rows of docs that the classifier predicts as 1, with their columns.
+
+    Null and empty texts, null ids, repeated rows and missing labels as in score_quality; an empty table stays empty.
+    """
     model = fit_quality(docs, labels, **options)
     return with_score(docs, model, options.get("text_col", "text"), to_filter=True).where("__score >= 0.5").drop("__score")
