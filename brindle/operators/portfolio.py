@@ -78,11 +78,11 @@ def _mean(side: int, group: str, weighted: bool) -> Column:
     return F.try_divide(F.sum(x * w), F.sum(w)) if weighted else F.avg(x)
 
 
-def hedge_summary(rows: DataFrame, group: str = "position", weighted: bool = False) -> DataFrame:
-    """One row: sizes and mean excess returns of both sides, their difference, and Welch's t and df, which are never weighted."""
+def hedge_summary(rows: DataFrame, group: str = "position", weighted: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each value of `by`: sizes and mean excess returns of both sides, their difference, and Welch's t and df, which are never weighted."""
     kept = _taken(rows, group, weighted)
     side = lambda s: F.when(F.col(group) == s, F.col("excess_return"))
-    sums = kept.agg(
+    sums = kept.groupBy(*by).agg(
         F.count(side(LONG)).alias("n_long"), F.count(side(SHORT)).alias("n_short"), _mean(LONG, group, weighted).alias("long_mean"), _mean(SHORT, group, weighted).alias("short_mean"),
         F.avg(side(LONG)).alias("__ml"), F.avg(side(SHORT)).alias("__ms"), F.var_samp(side(LONG)).alias("__vl"), F.var_samp(side(SHORT)).alias("__vs"),
     )
@@ -103,6 +103,16 @@ def strategies(rows: DataFrame, long_from: float, short_to: float, prob: str = "
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def portfolio_runs(predictions: DataFrame, base: DataFrame, long_from: float, short_to: float, weighted: bool = False) -> DataFrame:
+    """hedge_summary of each model, feature set, shift and strategy.
+
+    predictions: (model, features, shift, ticker, year, prob, target); base: the returns (shift, ticker, year, excess_return, market_cap), which
+    are computed once a shift and joined to the predictions of all models and feature sets at once. Predictions without returns take no part.
+    """
+    held = predictions.join(base.select("shift", "ticker", "year", "excess_return", "market_cap"), ["shift", "ticker", "year"])
+    return hedge_summary(strategies(held, long_from, short_to), weighted=weighted, by=("model", "features", "shift", "strategy"))
+
+
 def bootstrap_hedge(rows: DataFrame, rounds: int = 1000, seed: int = 42, group: str = "position", weighted: bool = False, by_year: bool = False) -> DataFrame:
     """One row: mean, 95 % interval and two-sided p of the hedge return when rows, or years, are drawn again with replacement.
 

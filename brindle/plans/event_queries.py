@@ -269,6 +269,59 @@ def yearly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(portfolio.yearly_means(_base(spark, sf_dir)))
 
 
+_RUNS = f"""{_RETURNS}, shifted AS (SELECT 0 AS shift, ticker, year, excess_return, market_cap FROM base UNION ALL SELECT 1, ticker, year - 1, excess_return, market_cap FROM base),
+said AS (SELECT model, features, shift, ticker, year, (ticker * (shift + 2) + length(model) + length(features)) % 10 / 10.0 AS prob, (ticker % 2)::INT AS target
+  FROM (SELECT DISTINCT ticker, year FROM base), (VALUES ('rf'), ('lr2')) m(model), (VALUES ('F0'), ('F2+')) f(features), (VALUES (0), (1)) s(shift)),
+placed AS (SELECT *, 'threshold' AS strategy, CASE WHEN prob <= 0.3 THEN 0 WHEN prob >= 0.7 THEN 1 ELSE -1 END AS pos FROM said UNION ALL SELECT *, 'prediction', CASE WHEN prob < 0.5 THEN 0 ELSE 1 END FROM said
+  UNION ALL SELECT *, 'foresight', target FROM said)"""
+
+
+@REGISTRY.add(
+    f"""WITH {_RUNS} SELECT model, features, shift, strategy, count(*) FILTER (pos = 1) AS n_long, count(*) FILTER (pos = 0) AS n_short, round(avg(excess_return) FILTER (pos = 1) - avg(excess_return) FILTER (pos = 0), 8) AS hedge_return
+    FROM placed JOIN shifted USING (shift, ticker, year) WHERE pos >= 0 AND excess_return IS NOT NULL GROUP BY ALL"""
+)
+def portfolio_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _base(spark, sf_dir)
+    shifted = base.withColumn("shift", F.lit(0)).unionByName(base.withColumns({"shift": F.lit(1), "year": F.col("year") - 1}))
+    each = lambda *names: F.explode(F.array(*map(F.lit, names)))
+    said = base.select("ticker", "year").distinct().withColumn("model", each("rf", "lr2")).withColumn("features", each("F0", "F2+")).withColumn("shift", each(0, 1))
+    said = said.withColumns({"prob": (F.col("ticker") * (F.col("shift") + 2) + F.length("model") + F.length("features")) % 10 / 10.0, "target": (F.col("ticker") % 2).cast("int")})
+    return _rounded(portfolio.portfolio_runs(said, shifted, 0.7, 0.3).select("model", "features", "shift", "strategy", "n_long", "n_short", "hedge_return"))
+
+
+# filings and predictions by customers' orders
+_BOOKS = "books AS (SELECT o_custkey AS ticker, year(o_orderdate)::INT AS year, min(o_orderdate)::DATE AS period_of_report, count(*) AS n FROM orders GROUP BY ALL)"
+
+
+def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.col("o_orderdate").cast("date")
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("ticker"), F.year(day).alias("year")).agg(F.min(day).alias("period_of_report"), F.count("*").alias("n"))
+
+
+@REGISTRY.add(
+    f"""WITH {_BOOKS} SELECT r.ticker, r.year, (f.period_of_report + INTERVAL 3 MONTH)::DATE AS start_date, ((f.period_of_report + INTERVAL 3 MONTH)::DATE + INTERVAL 12 MONTH)::DATE AS end_date
+    FROM books r JOIN books f ON f.ticker = r.ticker AND f.year = r.year - 1"""
+)
+def holding_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    books = _books(spark, sf_dir)
+    return portfolio.holding_periods(books.select("ticker", "year"), books).select("ticker", "year", "start_date", "end_date")
+
+
+@REGISTRY.add("SELECT o_custkey AS ticker, year(o_orderdate)::INT AS year, arg_min(o_totalprice, o_orderkey)::DOUBLE AS market_cap FROM orders GROUP BY ALL")
+def market_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ticker"), F.col("o_orderkey").alias("pos"), F.year(F.col("o_orderdate").cast("date")).cast("string").alias("calendarYear"), F.col("o_totalprice").alias("marketCap"))
+    return portfolio.market_caps(entries)
+
+
+@REGISTRY.add(
+    f"""WITH {_BOOKS} SELECT ticker, year, n, c_custkey % 100 / 100.0 AS prob, (c_custkey % 100 >= 50)::INT AS y_pred, (c_acctbal > 0)::INT AS y_true FROM books JOIN customer ON c_custkey = ticker AND c_nationkey % 7 + 1992 = year"""
+)
+def attach_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    said = table(spark, sf_dir, "customer").select(key.alias("ticker"), (F.col("c_nationkey") % 7 + 1992).alias("year"), (key % 100 / 100.0).alias("prob"), F.when(key % 100 >= 50, 1).otherwise(0).alias("y_pred"), F.when(F.col("c_acctbal") > 0, 1).otherwise(0).alias("y_true"))
+    return portfolio.attach_predictions(_books(spark, sf_dir).select("ticker", "year", "n"), said)
+
+
 @REGISTRY.add()
 def welch_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.with_welch_p(portfolio.hedge_summary(_base(spark, sf_dir)))

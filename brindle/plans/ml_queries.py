@@ -117,6 +117,27 @@ def ml_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.datasets(prep.target_base(t, text), t.withColumnRenamed("target", "km_n"), text)["F2"].select("ticker", "pred_year", "year", "target", "km_n", "mean_sentiment")
 
 
+@REGISTRY.add(
+    """WITH t AS (SELECT o_custkey AS ticker, year(o_orderdate)::INT AS year, count(*) AS target FROM orders GROUP BY ALL), x AS (SELECT c_custkey AS ticker, 1997 + c_nationkey % 3 AS pred_year, c_acctbal AS s, c_acctbal / 2 AS s1 FROM customer),
+    b AS (SELECT ticker, year, target, year - 1 AS pred_year FROM t WHERE (ticker, year - 1) IN (SELECT (ticker, pred_year) FROM x)), f AS (SELECT b.*, t.target AS km_n FROM b JOIN t ON t.ticker = b.ticker AND t.year = b.pred_year)
+    SELECT 'F0' AS variant, ticker, pred_year, NULL AS km_n, s AS mean_sentiment, s1 AS mean_sentiment_topic_1 FROM b LEFT JOIN x USING (ticker, pred_year) UNION ALL SELECT 'F1', ticker, pred_year, km_n, NULL, NULL FROM f
+    UNION ALL SELECT 'F2', ticker, pred_year, km_n, s, NULL FROM f LEFT JOIN x USING (ticker, pred_year) UNION ALL SELECT 'F3', ticker, pred_year, km_n, s, s1 FROM f LEFT JOIN x USING (ticker, pred_year)
+    UNION ALL SELECT 'F4', ticker, pred_year, km_n, NULL, s * 3 FROM f LEFT JOIN x USING (ticker, pred_year)"""
+)
+def ml_dataset_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("ticker"), F.year(F.col("o_orderdate").cast("date")).alias("year")).agg(F.count("*").alias("target"))
+    keys = (F.col("c_custkey").alias("ticker"), (1997 + F.col("c_nationkey") % 3).alias("year_of_report"))
+    customer = table(spark, sf_dir, "customer")
+    text = customer.select(*keys, F.col("c_acctbal").alias("mean_sentiment"), (F.col("c_acctbal") / 2).alias("mean_sentiment_topic_1"))
+    model_text = customer.select(*keys, (F.col("c_acctbal") * 3).alias("mean_sentiment_topic_1"))
+    found = prep.datasets(prep.target_base(t, text), t.withColumnRenamed("target", "km_n"), text, model_text)
+    wide = [df.withColumn("variant", F.lit(name)) for name, df in found.items()]
+    out = wide[0]
+    for df in wide[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out.select("variant", "ticker", "pred_year", "km_n", "mean_sentiment", "mean_sentiment_topic_1")
+
+
 @REGISTRY.add("SELECT conv_id, list(CASE WHEN turn % 4 = 3 THEN 14 ELSE turn % 4 END ORDER BY turn)::BIGINT[] AS values FROM conversations GROUP BY conv_id")
 def value_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").withColumn("topic", F.when(F.col("turn") % 4 == 3, -1).otherwise(F.col("turn") % 4))
