@@ -62,6 +62,18 @@ def classify(kind: str, train: DataFrame, test: DataFrame, columns: list[str], l
     return out.withColumn("y_pred", F.when(F.col("prob") >= 0.5, 1).otherwise(0)).select(*(F.col(f"`{c}`") for c in test.columns), "prob", "y_pred")
 
 
+def importances(train: DataFrame, columns: list[str], label: str = "target", seed: int = 42, trees: int = 100, depth: int = 3) -> DataFrame:
+    """(column, importance) of a forest fitted on train, adding up to 1: a filled value and its mark of missing count as one column."""
+    rows = with_class_weight(train, label).withColumn(label, F.col(label).cast("double"))
+    fit_on, _ = _vectors(rows, rows.limit(0), columns, impute=True)
+    model = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxDepth=depth, numTrees=trees, subsamplingRate=0.5, seed=seed).fit(fit_on)
+    names = [a["name"] for kind in fit_on.schema["features"].metadata["ml_attr"]["attrs"].values() for a in sorted(kind, key=lambda a: a["idx"])]
+    found = dict.fromkeys(columns, 0.0)
+    for name, value in zip(names, model.featureImportances.toArray(), strict=True):
+        found[name[4:]] += float(value)
+    return train.sparkSession.createDataFrame(sorted(found.items()), "column string, importance double")
+
+
 def certain(rows: DataFrame, low: float = 0.4, high: float = 0.6, prob: str = "prob") -> DataFrame:
     """Rows whose probability is below or above the doubtful range."""
     return rows.where((F.col(prob) < low) | (F.col(prob) > high))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +15,12 @@ from .sentences import NOISE, TOPIC_NAMES
 
 ANSWER = "topic string, explanation string, probability int"
 FAILED = ("Parsing Error", "Parsing Error", 0)
+#: What each topic is about, in the order of TOPIC_NAMES: the model is told with the instruction.
+SCOPES = (
+    "what customers buy, prices, demand and competitors", "what production, staff and assets cost, and their loss of value", "results, margins, earnings and losses", "making, moving, storing and marketing of goods, and suppliers", "cash, working capital and whether debts can be paid when due",
+    "money put into assets, firms and their sale", "money raised by debt or shares, and paid to owners", "lawsuits, disputes, patents and other rights", "people at work, their hiring, pay, training and leaders", "laws, regulators, government and taxes", "accounting methods, audits, filings and internal control",
+    "environment, society, diversity and how the firm is governed",
+)
 INSTRUCTION = "Name the topic of the sentence. Choose from: {topics}. Answer as JSON with topic, explanation and probability (0 to 100)."
 
 
@@ -41,29 +50,50 @@ def examples_text(neighbours: DataFrame, id_col: str = "vec_id", text: str = "te
     return neighbours.groupBy(id_col).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n\n").alias("examples"))
 
 
+def instruction_text(names: tuple[str, ...] = TOPIC_NAMES, scopes: tuple[str, ...] | None = SCOPES) -> str:
+    """The instruction, followed by a line for each topic that tells its scope."""
+    lines = [f"{n}: {s}" for n, s in zip(names, scopes, strict=True)] if scopes else []
+    return "\n".join([INSTRUCTION.format(topics=", ".join(names)), *lines])
+
+
 def prompt(sentence: Column, metadata: Column | None = None, context: Column | None = None, examples: Column | None = None, instruction: bool = True) -> Column:
     """The parts that are there and not empty, with blank lines between; the sentence last."""
     full = lambda c: F.when(c.isNotNull() & (F.trim(c) != ""), F.trim(c, F.lit("\n ")))
-    parts = [F.lit(INSTRUCTION.format(topics=", ".join(TOPIC_NAMES)))] if instruction else []
+    parts = [F.lit(instruction_text())] if instruction else []
     parts += [full(c) for c in (examples, metadata, context) if c is not None]
     return F.concat_ws("\n\n", *parts, F.concat(F.lit("Sentence: "), sentence))
 
 
-def ask(prompts: DataFrame, load: Callable[[], Callable[[str], str]], prompt_col: str = "prompt", at_once: int | None = None) -> DataFrame:
-    """prompts with the model's raw answer; a call that fails has a null answer. at_once: calls at the same time."""
-    rows = prompts.repartition(at_once) if at_once else prompts
+def ask(prompts: DataFrame, load: Callable[[], Callable[[str], str]], prompt_col: str = "prompt", tasks: int | None = None, at_once: int = 16, per_second: float | None = None) -> DataFrame:
+    """prompts with the model's raw answer; a call that fails, or has a null prompt, has a null answer.
+
+    tasks: partitions that ask, by default those of prompts; at_once: calls at the same time in each; per_second: calls that each begins in a second at most.
+    Answers stay with their prompts whatever order they come in. A task that runs again asks again.
+    """
+    if at_once < 1 or (per_second is not None and per_second <= 0):
+        raise ValueError("at least one call at a time, and some in a second")
+    rows = prompts.repartition(tasks) if tasks else prompts
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
+        model, turn, begins = load(), threading.Lock(), [time.monotonic()]
 
-        def one(text: str) -> str | None:
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+            if per_second:
+                with turn:
+                    begins[0] = max(begins[0], time.monotonic())
+                    wait = begins[0] - time.monotonic()
+                    begins[0] += 1 / per_second
+                time.sleep(max(0.0, wait))
             try:
                 return model(text)
             except Exception:  # noqa: BLE001  a failed call is an answer that can't be read
                 return None
 
-        for batch in batches:
-            yield pd.Series([one(t) for t in batch], dtype=object)
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                yield pd.Series(list(pool.map(one, batch)), dtype=object)
 
     return rows.withColumn("answer", F.pandas_udf(run, "string")(F.col(prompt_col)))
 

@@ -66,6 +66,13 @@ def feature_vector(features: DataFrame, columns: list[str]) -> DataFrame:
     return features.select("doc_id", F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns)).alias("features"))
 
 
+def with_additions(companies: DataFrame, additions: DataFrame) -> DataFrame:
+    """(cik, ticker, pos) of companies with (cik, ticker) added by hand, which count as later than all others of a cik."""
+    last = companies.agg(F.coalesce(F.max("pos"), F.lit(0)).cast("long").alias("__m"))
+    added = additions.crossJoin(F.broadcast(last)).select("cik", "ticker", (F.col("__m") + 1).alias("pos"))  # one row
+    return companies.select("cik", "ticker", F.col("pos").cast("long").alias("pos")).unionByName(added)
+
+
 def with_company(features: DataFrame, filings: DataFrame, companies: DataFrame, one_per_year: bool = True, keep_date: bool = True) -> DataFrame:
     """features with ticker, filing_date and year_of_report of the filing.
 

@@ -203,6 +203,17 @@ def infer(rows: DataFrame, load: Callable[[], Callable[[pd.Series], np.ndarray]]
     return rows.withColumn(out, F.pandas_udf(run, kind)(F.col(input_col)))
 
 
+def classified(rows: DataFrame, load: Callable[[], Callable[[pd.Series], np.ndarray]], input_col: str, labels: tuple[str, ...], prefix: str = "") -> DataFrame:
+    """rows with <prefix>class, <prefix>label and <prefix>prob: the likeliest of the labels by a model's scores, as of sentiment or of statements about the future.
+
+    Rows of a null input have null ones.
+    """
+    scored = infer(rows.withColumn("__in", F.coalesce(input_col, F.lit(""))), load, "__in", "__scores")
+    top = F.when(F.col(input_col).isNotNull(), best_class(F.col("__scores")))
+    told = scored.withColumn("__top", top)
+    return told.withColumns({f"{prefix}class": F.col("__top.class"), f"{prefix}label": F.get(F.array(*map(F.lit, labels)), F.col("__top.class")), f"{prefix}prob": F.col("__top.prob")}).drop("__in", "__scores", "__top")
+
+
 def best_class(scores: Column, softmax: bool = True) -> Column:
     """struct(class, prob) of the highest of an array of scores, the first of equal ones."""
     top = F.array_max(scores)

@@ -87,6 +87,13 @@ _RATIOS = ", ".join(
 )
 
 
+@REGISTRY.add(f"WITH {_SENT}, per AS (SELECT doc_id, topic, round({_measure_sql(True)['renault']}, 8) AS s FROM sent WHERE topic BETWEEN 0 AND 2 GROUP BY doc_id, topic) SELECT doc_id, [coalesce(max(s) FILTER (topic = 0), 0), coalesce(max(s) FILTER (topic = 1), 0), coalesce(max(s) FILTER (topic = 2), 0)] AS features FROM (SELECT DISTINCT doc_id FROM sent) LEFT JOIN per USING (doc_id) GROUP BY doc_id")
+def sentiment_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = [f"mean_sentiment_topic_{t}" for t in range(3)]
+    wide = _rounded(sentiment.sentiment_features(_sentences(spark, sf_dir), "renault"))
+    return sentiment.feature_vector(wide, columns)
+
+
 @REGISTRY.add(f"WITH {_SENT} SELECT doc_id, {_RATIOS} FROM sent GROUP BY doc_id")
 def sentiment_class_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentiment.class_ratios(_sentences(spark, sf_dir).withColumn("fls_class", F.col("topic") % 3))

@@ -61,6 +61,31 @@ def write_table(rows: DataFrame, path: str, by: tuple[str, ...] = (), mode: str
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def read_vectors(spark: SparkSession, pattern: str) -> DataFrame:
+    """The vectors of all batches whose paths match, with file and row, by which they are in order: batches by name, then as written."""
+    rows = spark.read.parquet(pattern)
+    return rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+@dataclass(frozen=True)
+class Catalogue:
+    """Where a project's tables lie, under one folder: texts with their headers, nearest topics, classes of sentences, vectors and answers."""
+
+    root: str
+    texts: str = "texts"
+    topics: str = "topics"
+    classes: str = "classes"
+    vectors: str = "vectors"
+    answers: str = "answers"
+
+    def load(self, spark: SparkSession, name: str, model: str | None = None) -> DataFrame:
+        """A table by its name; of one model where several have made it."""
+        if name not in {f.name for f in fields(self)} - {"root"}:
+            raise ValueError(f"no table {name}")
+        path = f"{self.root.rstrip('/')}/{getattr(self, name)}"
+        return read_answers(spark, path) if name == "answers" else read_vectors(spark, path) if name == "vectors" else read_table(spark, path, model)
+
+
 def read_features(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", "true").schema(schema).csv(path)
 

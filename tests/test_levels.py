@@ -152,3 +152,54 @@ def test_later_answers_replace_earlier_ones(spark, tmp_path):
         time.sleep(1.1)
     got = {r["sentence_index"]: r["probability"] for r in routing.latest(files.read_answers(spark, out)).collect()}
     assert got[0] == 2 and got[1] == 1 and len(got) == 400
+
+
+def test_calls_go_side_by_side_and_stay_in_place(spark):
+    def load():
+        def model(text):
+            time.sleep(0.4 if text.endswith("0") else 0.25)
+            if text == "p7":
+                raise RuntimeError
+            return text.upper()
+
+        return model
+
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(64)] + [(99, None)], "id int, prompt string").coalesce(1)
+    began = time.monotonic()
+    got = {r["id"]: r["answer"] for r in routing.ask(df, load).collect()}
+    assert time.monotonic() - began < 12 and got == {i: None if i in (7, 99) else f"P{i}" for i in [*range(64), 99]}
+    began = time.monotonic()
+    assert routing.ask(df.limit(10), load, per_second=20).where("answer is not null").count() == 9 and time.monotonic() - began > 0.4
+    with pytest.raises(ValueError, match="at least"):
+        routing.ask(df, load, at_once=0)
+    assert routing.instruction_text().count("\n") == len(sentences.TOPIC_NAMES) and "competitors" in routing.instruction_text()
+
+
+def test_vectors_classes_and_catalogue(spark, tmp_path):
+    for k in (2, 1):
+        spark.createDataFrame([(k * 10 + i, [float(i)]) for i in range(3)], "id int, v array<double>").coalesce(1).write.parquet(f"{tmp_path}/vectors/batch_{k}")
+    of = files.Catalogue(str(tmp_path), vectors="vectors/batch_*")
+    assert {r["id"]: r["row"] for r in of.load(spark, "vectors").collect()} == {k * 10 + i: i for k in (1, 2) for i in range(3)}
+    with pytest.raises(ValueError, match="no table"):
+        of.load(spark, "root")
+
+    def load():
+        return lambda texts: np.array([[len(t), 3.0, 0.0] for t in texts])
+
+    df = spark.createDataFrame([("ab",), ("abcde",), (None,)], "t string")
+    got = vectors.classified(df, load, "t", ("long", "short", "none"), "fls_").collect()
+    assert [(r["fls_class"], r["fls_label"]) for r in got] == [(1, "short"), (0, "long"), (None, None)] and got[2]["fls_prob"] is None
+
+
+def test_additions_and_importances(spark):
+    from brindle.operators import models, sentiment
+
+    known = spark.createDataFrame([(1, "A", 0), (2, "B", 5)], "cik int, ticker string, pos int")
+    both = sentiment.with_additions(known, spark.createDataFrame([(2, "BB"), (3, "C")], "cik int, ticker string")).collect()
+    last = {}
+    for r in sorted(both, key=lambda r: r["pos"]):
+        last[r["cik"]] = r["ticker"]
+    assert last == {1: "A", 2: "BB", 3: "C"}
+    rows = [(int(i % 4 == 0), float(i % 4 == 0) if i % 9 else None, float(i % 7)) for i in range(200)]
+    got = {r["column"]: r["importance"] for r in models.importances(spark.createDataFrame(rows, "target int, a double, b double"), ["a", "b"], trees=20).collect()}
+    assert abs(sum(got.values()) - 1) < 1e-9 and got["a"] > 0.8
