@@ -99,6 +99,19 @@ def sentiment_class_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentiment.class_ratios(_sentences(spark, sf_dir).withColumn("fls_class", F.col("topic") % 3))
 
 
+@REGISTRY.add(
+    f"""WITH {_SENT} SELECT doc_id, round(avg(cls), 8) AS mean_sentiment, CASE WHEN doc_id % 40 < 35 THEN 'T' || (doc_id % 40) END AS ticker, DATE '2024-01-05' AS filing_date, (2000 + doc_id % 5)::INT AS year_of_report
+    FROM sent WHERE doc_id % 5 <> 4 GROUP BY doc_id"""
+)
+def sentiment_with_all_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents of a company and year, with their filing date; those whose year can't be read go."""
+    f = _rounded(sentiment.document_sentiment(_sentences(spark, sf_dir), methods=("basic",)).withColumnRenamed("basic", "mean_sentiment"))
+    year = F.when(F.col("doc_id") % 5 == 4, "no year").otherwise((2000 + F.col("doc_id") % 5).cast("string"))
+    filings = f.select("doc_id", (F.col("doc_id") % 40).alias("cik"), F.lit("20240105").alias("filing_date"), year.alias("year_of_report"), F.lit(0).alias("pos"))
+    companies = spark.range(0, 35).select(F.col("id").alias("cik"), F.concat(F.lit("T"), F.col("id").cast("string")).alias("ticker"), F.col("id").alias("pos"))
+    return sentiment.with_company(f, filings, companies, one_per_year=False).select("doc_id", "mean_sentiment", "ticker", "filing_date", "year_of_report")
+
+
 @REGISTRY.add(
     f"""WITH {_SENT}, f AS (SELECT doc_id, round(avg(cls), 8) AS mean_sentiment FROM sent GROUP BY doc_id),
     m AS (SELECT doc_id, doc_id % 40 AS cik, 2000 + doc_id % 5 AS year_of_report FROM f), j AS (SELECT f.doc_id, mean_sentiment, 'T' || (cik % 17) AS ticker, year_of_report::INT AS year_of_report FROM f JOIN m USING (doc_id) WHERE cik < 35

@@ -73,6 +73,22 @@ def small_feature_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fun.feature_set(rows, small=True)
 
 
+@REGISTRY.add("SELECT p_partkey AS ticker, p_size AS year, p_retailprice AS is_abs_kept, p_retailprice + 1 AS own_figure FROM part")
+def large_feature_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features but absolute and repeated ones, without those of quarters."""
+    price = F.col("p_retailprice")
+    gone = {"bs_abs_gone": price, "km_peRatio": price * 2, "km_peRatio_Q2": price * 3, "own_figure_Q1": price * 4, "own_figure_Q4": price * 5}
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ticker"), F.col("p_size").alias("year"), price.alias("is_abs_kept"), (price + 1).alias("own_figure"), *(c.alias(n) for n, c in gone.items()))
+    return fun.feature_set(rows, absolute=("bs_abs_gone",), quarters=False)
+
+
+@REGISTRY.add("SELECT o_custkey AS ticker, o_orderdate::DATE AS date, arg_min(o_totalprice, o_orderkey) AS price, arg_min(o_orderkey % 97, o_orderkey)::DOUBLE AS volume FROM orders WHERE o_orderkey % 13 <> 0 GROUP BY ALL")
+def daily_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first entry of a customer and day; days that can't be read go."""
+    key, day = F.col("o_orderkey"), F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+    return fun.daily_prices(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ticker"), key.alias("pos"), F.when(key % 13 == 0, "no day").otherwise(day).alias("date"), F.col("o_totalprice").alias("adjClose"), (key % 97).alias("volume")))
+
+
 _FILED = """raw AS (SELECT l_suppkey AS ticker, l_orderkey * 10 + l_linenumber AS pos, l_quantity, o_orderdate::DATE AS period_of_report, l_shipdate::DATE AS filing_date, year(o_orderdate)::INT AS year FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 filed AS (SELECT ticker, period_of_report, filing_date, year FROM (SELECT *, row_number() OVER (PARTITION BY ticker, year ORDER BY pos, l_quantity, filing_date, period_of_report) AS r FROM raw) WHERE r = 1)"""
 
@@ -116,6 +132,12 @@ def target_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _adjusted(spark, sf_dir).withColumn("target", F.round("target", 6))
 
 
+@REGISTRY.add(f"WITH {_ENTRIES}, q AS (SELECT ticker, year, min_by(income, pos) AS target FROM entries WHERE quarter = 'Q2' AND income IS NOT NULL GROUP BY ticker, year) SELECT ticker, year, round(target, 6) AS target FROM q WHERE year >= 1995 AND year <= 1997 AND abs(target) < 20000")
+def target_of_a_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = fun.bounded_targets(fun.target_rows(_entries(spark, sf_dir, "Q"), "income", "Q2"), (1995, 1997), 20_000)
+    return got.withColumn("target", F.round("target", 6))
+
+
 @REGISTRY.add(f"WITH {_TARGETS} SELECT ticker, year - 1 AS year, (target > 0)::INT AS target FROM adj WHERE year BETWEEN 1998 AND 2000 AND abs(target) < 200000 AND abs(target) >= 1000")
 def target_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fun.shifted_years(fun.binary_target(fun.bounded_targets(_adjusted(spark, sf_dir), (1998, 2000), 200_000, 1_000)))

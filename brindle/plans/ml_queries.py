@@ -107,6 +107,25 @@ def prep_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return test.select("id", "target", *(F.round(c, 8).alias(c) for c in columns))
 
 
+@REGISTRY.add("SELECT p_partkey AS id, p_size AS n, CASE WHEN p_partkey % 3 = 0 OR p_size = 7 THEN NULL ELSE p_retailprice END AS x, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice / 2 END AS y FROM part")
+def prep_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric columns that are features, with NaN and infinite numbers as null."""
+    key, price = F.col("p_partkey"), F.col("p_retailprice")
+    x = F.when(key % 3 == 0, F.lit(float("nan"))).when(F.col("p_size") == 7, F.lit(float("-inf"))).otherwise(price)
+    rows = table(spark, sf_dir, "part").select(key.alias("id"), F.col("p_size").alias("n"), x.alias("x"), F.when(key % 5 == 0, F.lit(float("inf"))).otherwise(price / 2).alias("y"), F.col("p_size").alias("fiscal_year"), F.col("p_name").alias("name"))
+    return prep.without_infinities(rows.select(*prep.numeric_columns(rows)))
+
+
+@REGISTRY.add(
+    """WITH t AS (SELECT o_custkey AS ticker, year(o_orderdate)::INT AS year, count(*) AS target FROM orders GROUP BY ALL)
+    SELECT ticker, year, year AS pred_year, target FROM t WHERE (ticker, year) IN (SELECT (c_custkey, 1997 + c_nationkey % 3) FROM customer)"""
+)
+def target_base_unshifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("ticker"), F.year(F.col("o_orderdate").cast("date")).alias("year")).agg(F.count("*").alias("target"))
+    text = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ticker"), (1997 + F.col("c_nationkey") % 3).alias("year_of_report"))
+    return prep.target_base(t, text, shift=0).select("ticker", "year", "pred_year", "target")
+
+
 @REGISTRY.add(
     """WITH t AS (SELECT o_custkey AS ticker, year(o_orderdate)::INT AS year, count(*) AS target FROM orders GROUP BY ALL), b AS (SELECT ticker, year, target, year - 1 AS pred_year FROM t WHERE (ticker, year - 1) IN (SELECT (c_custkey, 1997 + c_nationkey % 3) FROM customer)),
     f AS (SELECT b.ticker, b.pred_year, b.year, b.target, t.target AS km_n FROM b JOIN t ON t.ticker = b.ticker AND t.year = b.pred_year) SELECT f.ticker, f.pred_year, f.year, f.target, km_n, c_acctbal AS mean_sentiment FROM f LEFT JOIN customer ON c_custkey = ticker AND 1997 + c_nationkey % 3 = pred_year"""

@@ -59,6 +59,19 @@ def doc_sentence_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.number_sentences(sentences.clean_sentences(found, rules=())).select("doc_id", "sentence_id", "pos", "sentence", "n_words")
 
 
+@REGISTRY.add(
+    r"""WITH cut AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]["'')\]]*)\s+([^\p{Ll}\s])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM documents),
+    listed AS (SELECT doc_id, list_filter(list_transform(s, lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM cut),
+    each AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos FROM listed),
+    replaced AS (SELECT doc_id, pos, trim(regexp_replace(lower(sentence), '\s+', ' ', 'g'), ' ') AS r FROM each)
+    SELECT doc_id, pos::INT AS pos, trim(regexp_replace(r, '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), ' ') AS sentence FROM replaced WHERE len(list_filter(regexp_split_to_array(r, '\s+'), lambda w: w <> '')) BETWEEN 6 AND 49"""
+)
+def doc_sentences_counted_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words are counted before punctuation goes."""
+    found = sentences.split_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return sentences.clean_sentences(found, rules=(), count_before_punctuation=True).select("doc_id", "pos", "sentence")
+
+
 @REGISTRY.add()
 def doc_clean_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", replace_rules(F.col("text")).alias("cleaned"))

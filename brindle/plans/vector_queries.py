@@ -178,6 +178,22 @@ def rag_model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.read_answers(routing.ask(rows, load)).select("conv_id", "turn", "topic", "explanation", "probability")
 
 
+@REGISTRY.add(
+    """WITH n AS (SELECT conv_id, turn, length(text) AS n FROM conversations), s AS (SELECT *, [n % 7, n % 5, n % 3]::DOUBLE[] AS s FROM n)
+    SELECT conv_id, turn, (list_position(s, list_max(s)) - 1)::INT AS fls_class, ['specific', 'general', 'none'][list_position(s, list_max(s))] AS fls_label, round(exp(list_max(s)) / list_sum(list_transform(s, lambda x: exp(x))), 9) AS fls_prob FROM s"""
+)
+def modality_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in for a classifier of statements about the future, so that batches, classes and probabilities run."""
+
+    def load():
+        import numpy as np
+
+        return lambda texts: np.array([[len(t) % 7, len(t) % 5, len(t) % 3] for t in texts], dtype=float)
+
+    got = vectors.classified(table(spark, sf_dir, "conversations"), load, "text", ("specific", "general", "none"), "fls_")
+    return got.select("conv_id", "turn", "fls_class", "fls_label", F.round("fls_prob", 9).alias("fls_prob"))
+
+
 @REGISTRY.add(
     """WITH s AS (SELECT vec_id, list_slice(embedding, 1, 3)::DOUBLE[] AS s FROM embeddings)
     SELECT vec_id, (list_position(s, list_max(s)) - 1)::INT AS class, round(exp(list_max(s)) / list_sum(list_transform(s, lambda x: exp(x))), 9) AS prob FROM s"""
