@@ -43,6 +43,8 @@ BITS_PER_KEY, HASHES = 10, 7
 PLACE = 8
 #: Words whose ids a worker remembers.
 KNOWN_WORDS = 500_000
+#: Values that the sketch of the ids may hold, from which the shards' ranges are taken.
+MOST_MARKS = 200_000
 #: Shards of a table: of one with more than so many times shard_bytes of text they are larger.
 MAX_SHARDS = 20_000
 
@@ -301,7 +303,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.coalesce(F.col(place_col).cast("long"), F.lit(-1)) if place_col else F.lit(-1)).cast("long").alias("place"))
     held = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     shards = max(1, min(held["n"], -(-(held["b"] or 0) // shard_bytes), MAX_SHARDS))
-    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards)).first()[0] or [])) if shards > 1 else []
+    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], min(100 * shards, MOST_MARKS))).first()[0] or [])) if shards > 1 else []
 
     width = encoder_of(tokenizer_path, end_id).width
 
