@@ -20,6 +20,8 @@ from .common import cut
 
 MAX_SOURCES = 512
 BUCKET_ROWS = 20_000
+#: The columns that mix() adds.
+MINE = ("mix_source", "mix_weight", "mix_block", "mix_slot", "mix_offset")
 
 
 def quantise(weights: list[float], period: int) -> list[int]:
@@ -91,8 +93,7 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     ids, repeated rows and clashing column names are kept (mix_ columns are replaced). An empty
     table gives no rows. At most MAX_SOURCES sources.
     """
-    mine = ("mix_source", "mix_weight", "mix_block", "mix_slot", "mix_offset")
-    docs = docs.drop(*mine)
+    docs = docs.drop(*MINE)
     volume = F.greatest(F.coalesce(F.length(text_col), F.lit(0)), F.lit(1)).cast("long")
     held = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s")).agg(F.count("*").alias("n"), F.sum(volume).alias("v"))
     table = held.limit(MAX_SOURCES + 1).collect()
@@ -125,7 +126,7 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     found = found.join(F.broadcast(weight), F.col("__s") == F.col("__t")).drop("__t")
     at = F.col("mix_block") - F.col("__first")
     slot = F.col("__slot0") + F.floor(at / F.col("__c")).cast("long") * F.col("__period") + F.element_at("__slots", (at % F.col("__c") + 1).cast("int"))
-    return found.withColumn("mix_slot", slot).select(*(F.col(f"`{c}`") for c in docs.columns), F.col("__s").alias("mix_source"), *mine[1:3], "mix_slot", "mix_offset")
+    return found.withColumn("mix_slot", slot).select(*(F.col(f"`{c}`") for c in docs.columns), F.col("__s").alias("mix_source"), *MINE[1:3], "mix_slot", "mix_offset")
 
 
 def _bucket(order: Column, buckets: int) -> Column:
@@ -134,6 +135,11 @@ def _bucket(order: Column, buckets: int) -> Column:
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs with their columns, in the order of the mix, over files and within."""
-    mixed = mix(docs, **options)
-    return mixed.repartitionByRange("mix_slot", "mix_offset").sortWithinPartitions("mix_slot", "mix_offset").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs with their columns, in the order of the mix, over files and within.
+
+    Nulls, empty texts, repeated rows and empty tables as in mix(); columns named like its own are kept as they are.
+    """
+    held = {c: f"__held_{c}" for c in docs.columns if c in MINE}
+    mixed = mix(docs.withColumnsRenamed(held), **options)
+    ordered = mixed.repartitionByRange("mix_slot", "mix_offset").sortWithinPartitions("mix_slot", "mix_offset")
+    return ordered.select(*(F.col(f"`{held.get(c, c)}`").alias(c) for c in docs.columns))

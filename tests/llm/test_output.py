@@ -237,6 +237,27 @@ def test_pipeline_stages_keep_rows_of_repeated_and_null_ids(spark, tmp_path):
         at += r["n_tokens"]
 
 
+def test_all_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names and no rows at all."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, mix_slot int, item_id int, h1 string, comp string"
+    rest = (None, None, None, None, "x", 1, 2, "y", "z")
+    texts = [None, "", " ", "The end. " * 3, "many words " * 40_000, "\u0000\ufffd", "a"]
+    rows = [(i, t, *rest[1:]) for i, t in enumerate(texts)] * 2 + [(None, t, "en", None, 5, "x", 1, 2, "y", "z") for t in texts]
+    for name, part in (("odd", rows), ("none", [])):
+        spark.createDataFrame(part, schema).write.parquet(f"{tmp_path}/{name}")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = spark.read.parquet(f"{tmp_path}/{name}")
+            out = stage(spark, docs, DATA)
+            got = out.collect()
+            assert len(got) <= len(part)
+            if k < 4:
+                assert out.columns == docs.columns
+                assert {tuple(r) for r in got} <= {tuple(r) for r in docs.collect()}
+            if k in (3, 4):
+                assert len(got) == len(part)
+
+
 def test_encoder_forgets_and_goes_on(monkeypatch):
     import pyarrow as pa
 
