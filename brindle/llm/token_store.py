@@ -42,7 +42,7 @@ BITS_PER_KEY, HASHES = 10, 7
 #: Bytes of a document's place.
 PLACE = 8
 #: Words whose ids a worker remembers.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 150_000
 #: Values that the sketch of the ids may hold, from which the shards' ranges are taken.
 MOST_MARKS = 200_000
 #: Shards of a table: of one with more than so many times shard_bytes of text they are larger.
