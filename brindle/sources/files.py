@@ -104,7 +104,7 @@ class Experiment:
     kpi_max_abs_value: float | None = None
     binary_label: bool = True
     exclude_quarter_features: bool = True
-    fintextsim: str = "base"
+    encoder: str = "base"
     adjust_target_variable: bool = True
     sample: str = "full"
     feature_set: str = "all"
@@ -130,5 +130,5 @@ class Experiment:
 
     def partition(self, model: str) -> dict[str, str]:
         """The partition of a results table for a model's run."""
-        keys = ("feature_set", "target_period", "fintextsim", "sample", "exclude_quarter_features")
+        keys = ("feature_set", "target_period", "encoder", "sample", "exclude_quarter_features")
         return {"model": model} | {k: str(asdict(self)[k]).lower() for k in keys}
