@@ -28,9 +28,9 @@ def asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, values:
 SMALL = 200_000
 
 
-def _number(c: Column, kind: str) -> Column:
-    """A time as a number that keeps its order."""
-    return (F.unix_date(c) if kind == "date" else F.unix_micros(c) if kind.startswith("timestamp") else c).cast("double")
+def _number(c: Column, days: bool, numbers: bool) -> Column:
+    """A time as a number that keeps its order: of days, of microseconds, or as it is."""
+    return (c if numbers else F.unix_date(c) if days else F.unix_micros(c.cast("timestamp"))).cast("double")
 
 
 def asof_small(left: DataFrame, right: DataFrame, left_on: str, right_on: str, values: list[str], order: str | None = None) -> DataFrame:
@@ -44,16 +44,17 @@ def asof_small(left: DataFrame, right: DataFrame, left_on: str, right_on: str, v
         return asof(left, right, left_on, right_on, values, order=order)
     last = Window.partitionBy(right_on).orderBy(F.desc(order) if order else F.lit(0))
     rows = ticks.withColumn("__r", F.row_number().over(last)).where("__r = 1").select(F.col(right_on).alias("from"), *values)
-    kinds = dict(rows.dtypes)["from"], dict(left.dtypes)[left_on]
-    ends = rows.agg(F.min(_number(F.col("from"), kinds[0])).alias("low"), F.max(_number(F.col("from"), kinds[0])).alias("high"), F.count("*").alias("n")).first()
+    kinds = {dict(rows.dtypes)["from"], dict(left.dtypes)[left_on]}
+    number = lambda c: _number(F.col(c), kinds == {"date"}, not any(k == "date" or k.startswith("timestamp") for k in kinds))
+    ends = rows.agg(F.min(number("from")).alias("low"), F.max(number("from")).alias("high"), F.count("*").alias("n")).first()
     low, n = ends["low"] or 0.0, max(1, ends["n"])
     width = ((ends["high"] or 0.0) - low) / n or 1.0
     slot = lambda x: F.least(F.greatest(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(-1)), F.lit(n)).cast("int")
     # a window over the few rows of the small side
     until = rows.withColumn("until", F.lead("from").over(Window.orderBy("from")))
-    slots = F.sequence(slot(_number(F.col("from"), kinds[0])), F.coalesce(slot(_number(F.col("until"), kinds[0])), F.lit(n)))
+    slots = F.sequence(slot(number("from")), F.coalesce(slot(number("until")), F.lit(n)))
     table = F.broadcast(until.withColumn("__slot", F.explode(slots)))
-    asked = left.withColumn("__slot", slot(_number(F.col(left_on), kinds[1])))
+    asked = left.withColumn("__slot", slot(number(left_on)))
     return asked.join(table, (asked["__slot"] == table["__slot"]) & (F.col(left_on) >= F.col("from")) & (F.col("until").isNull() | (F.col(left_on) < F.col("until"))), "left").drop("from", "until", "__slot")
 
 

@@ -95,7 +95,9 @@ def test_asof_small_is_asof(spark):
     none = joins.asof_small(left, right.limit(0), "t", "d", ["v"]).collect()
     assert len(none) == len(asks) and all(r["v"] is None for r in none)
     stamps = spark.createDataFrame([(dt.datetime(2000, 1, 1, 5), 1), (dt.datetime(2000, 1, 3), 2)], "at timestamp, v int")
-    assert [r["v"] for r in joins.asof_small(left.where("id in (1, 2)"), stamps, "t", "at", ["v"]).orderBy("id").collect()] == [None, 2]
+    for kind in ("timestamp", "timestamp_ntz"):
+        got = joins.asof_small(left.where("id in (1, 2, 9, 10)"), stamps.withColumn("at", F.col("at").cast(kind)), "t", "at", ["v"]).orderBy("id").collect()
+        assert [(r["id"], r["v"]) for r in got] == [(1, None), (2, 2), (9, 1), (10, 2)]
 
 
 def test_smote_lies_between_neighbours(spark):
