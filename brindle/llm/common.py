@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 from collections.abc import Iterator
 from urllib.parse import unquote
@@ -58,18 +59,29 @@ FILE_ROWS = 1 << 40
 
 
 def with_places(docs: DataFrame, name: str = "place") -> DataFrame:
-    """docs with a number of its own for each row; for rows read from files their place in the order of writing, by file, then by row."""
-    files = sorted({unquote(f.rsplit("/", 1)[-1]) for f in docs.inputFiles()})
+    """docs with a number of its own for each row; for rows read from files their place in the order of writing, by file, then by row.
+
+    Files are told apart by their whole path, as those of one task have one name in all folders of a partitioned table.
+    """
+    files = sorted({_path(f) for f in docs.inputFiles()})
     try:
-        seen = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row")) if files else None
+        seen = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")) if files else None
     except AnalysisException:  # rows of files no more
         seen = None
     if seen is None:
         return cut(docs.withColumn(name, F.monotonically_increasing_id()))
-    ranks = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "__file string, __rank long")
-    # a row for each file
-    placed = seen.join(F.broadcast(ranks), "__file").withColumn(name, F.col("__rank") * FILE_ROWS + F.col("__row"))
-    return placed.drop("__file", "__rank", "__row")
+    ranks = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "__name string, __rank long")
+    # a row for each file; the path alone, as one side of these may leave out an empty authority
+    bare = F.regexp_replace(F.try_url_decode(F.regexp_replace("__file", r"\+", "%2B")), "^[a-z0-9+.-]+:/*(?=/)", "")
+    placed = seen.join(F.broadcast(ranks), bare == F.col("__name"), "left")
+    place = F.when(F.col("__rank").isNotNull(), F.col("__rank") * FILE_ROWS + F.col("__row")).otherwise(F.raise_error(F.concat(F.lit("no place for "), "__file")).cast("long"))
+    placed = placed.withColumn(name, place)
+    return placed.drop("__file", "__name", "__rank", "__row")
+
+
+def _path(uri: str) -> str:
+    """A file's decoded path without its scheme and an empty authority."""
+    return re.sub("^[a-z0-9+.-]+:/*(?=/)", "", unquote(uri))
 
 
 @contextlib.contextmanager

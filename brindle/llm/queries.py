@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contaminated
 from .embedding_dedup import embedding_components
+from .license_scan import PHRASES, TEMPLATES, compiled, scan_licenses
 from .line_dedup import line_components
 from .mixing import mix
 from .ngram_join import ngram_components
 from .page_text import extract_text
 from .quality import score_quality
+from .resampling import resample
 from .secret_scan import scan_secrets
 from .token_store import read_shards, write_shards
 from .url_rules import PAGE_RULES, judge_urls
+from .whitening import whiten
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -70,7 +73,19 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(_table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2))
 
 
-for _query in (op1_benchmark_decontamination, op2_quality_classifier, op3_html_extraction, op4_url_filters, op5_embedding_near_dedup, op6_line_dedup, op7_secret_scans, op8_ngram_jaccard_join, op9_source_mixing, op10_token_output):
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), buckets=10_000, percent=5, least_words=20, seed=42)
+
+
+for _query in (op1_benchmark_decontamination, op2_quality_classifier, op3_html_extraction, op4_url_filters, op5_embedding_near_dedup, op6_line_dedup, op7_secret_scans, op8_ngram_jaccard_join, op9_source_mixing, op10_token_output, op11_license_scan, op12_embedding_whitening, op13_importance_resampling):
     QUERIES[_query.__name__] = _query
 
 
@@ -140,3 +155,28 @@ links AS (
 ), reach(x, y) AS (SELECT doc_id, doc_id FROM sized UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
 SELECT s.doc_id, s.n AS n_shingles, min(r.y) AS component_id FROM sized s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.n
 """
+
+
+def _license_sql() -> str:
+    rows = ", ".join(f"({t.number}, '{t.label}', {t.span}, {t.need}, {t.words})" for t in compiled(TEMPLATES, 90))
+    places = [
+        "list_filter(range(0, len(w)), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{word}'" for k, word in enumerate(phrase.split(" "))) + ")" for phrase, _ in PHRASES
+    ]
+    found = ", ".join(f"CASE WHEN len({p}) > 0 THEN '{label}' END" for p, (_, label) in zip(places, PHRASES, strict=True))
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS place, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), t(number, label, span, need, words) AS (VALUES {rows}),
+b AS (SELECT place, t.*, w, unnest(range(0, greatest(1, len(w) - span), span)) AS block FROM d, t),
+held AS (SELECT place, label, len(list_intersect(words, w[block + 1:block + 2 * span])) AS own, need, len(words) AS n FROM b),
+method AS (SELECT place, list(DISTINCT label) AS l, max(own / n) AS share FROM held WHERE own >= need GROUP BY place),
+base AS (SELECT place, doc_id, len(w) AS n_words, list_concat({", ".join(places)}) AS p, list_filter([{found}], lambda x: x IS NOT NULL) AS l FROM d)
+SELECT doc_id, n_words, len(p) AS n_base, list_min(p) AS first_word, list_max(p) AS last_word, array_to_string(list_sort(base.l), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base.l, coalesce(method.l, [])))), ',') AS labels, CASE WHEN len(p) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0) END AS score
+FROM base LEFT JOIN method USING (place)
+"""
+
+
+ORACLES["op11_license_scan"] = _license_sql()
