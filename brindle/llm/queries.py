@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.registry import CRC
 from .decontaminate import contaminated
 from .embedding_dedup import embedding_components
 from .license_scan import PHRASES, TEMPLATES, compiled, scan_licenses
@@ -180,3 +181,29 @@ FROM base LEFT JOIN method USING (place)
 
 
 ORACLES["op11_license_scan"] = _license_sql()
+
+
+def _resampling_sql() -> str:
+    words = lambda of: f"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM {of}"""
+    grams = "unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f"
+    digit = lambda h, i: f"(strpos('0123456789ABCDEF', upper(substr({h}, {i}, 1))) - 1)::BIGINT"
+    return f"""
+WITH RECURSIVE {CRC},
+d AS (SELECT row_number() OVER () AS place, doc_id, {words("documents")}), b AS (SELECT {words("benchmark")}),
+df AS (SELECT place, {grams} FROM d), bf AS (SELECT {grams} FROM b),
+hexed AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+coded AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h), 2), lambda i: {digit("h", "i")} * 16 + {digit("h", "i + 1")})),
+  lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM hexed, tab),
+s AS (SELECT bucket, count(*) AS s FROM df JOIN coded USING (f) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM bf JOIN coded USING (f) GROUP BY bucket),
+gains AS (SELECT r.range AS bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM df) + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bf) + 10000))))::BIGINT AS gain
+  FROM range(10000) r LEFT JOIN s ON s.bucket = r.range LEFT JOIN t ON t.bucket = r.range),
+weights AS (SELECT place, count(*) AS n, sum(gain)::BIGINT AS weight FROM df JOIN coded USING (f) JOIN gains USING (bucket) GROUP BY place),
+hashed AS (SELECT place, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, sha256('42:' || doc_id) AS h FROM d LEFT JOIN weights USING (place)),
+scored AS (SELECT *, weight + floor(-1000 * ln(-ln((list_reduce(list_transform(range(1, 9), lambda i: {digit("h", "i")}), lambda a, x: a * 16 + x) + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM hashed),
+fit AS (SELECT place, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * (SELECT count(*) FROM fit) // 100 THEN rank END AS rank FROM scored LEFT JOIN fit USING (place)
+"""
+
+
+ORACLES["op13_importance_resampling"] = _resampling_sql()

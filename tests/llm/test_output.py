@@ -1,8 +1,10 @@
 """Mixing, token shards and the pipeline: exact round trips and brute force."""
 
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -14,34 +16,46 @@ from brindle.llm.queries import tokenizer_file
 DATA = "/root/testdata/sf0.001"
 
 
-def test_schedule_stays_within_a_block():
+def fluid(weights, blocks, until):
+    """How far each source is after each slot if all that are left are served at once by their weights."""
+    done, w = [Fraction(0)] * len(blocks), [Fraction(x) for x in weights]
+    yield list(done)
+    for _ in range(until):
+        slot = Fraction(1)
+        while slot:
+            live = [s for s in range(len(blocks)) if done[s] < blocks[s]]
+            total = sum(w[s] for s in live)
+            step = min(slot, *((blocks[s] - done[s]) * total / w[s] for s in live))
+            for s in live:
+                done[s] += step * w[s] / total
+            slot -= step
+        yield list(done)
+
+
+def test_schedule_stays_within_a_block_of_the_weights():
     rng = random.Random(1)
-    for _ in range(150):
-        shares = [rng.random() ** 3 + 1e-4 for _ in range(rng.randint(1, 15))]
-        blocks = mixing.quantise(shares, 120)
-        assert sum(blocks) == 120 and min(blocks) >= 1
-        slots = mixing.pattern(blocks)
-        assert sorted(x for s in slots for x in s) == list(range(120))
-        for c, own in zip(blocks, slots, strict=True):
-            done = 0
-            for t in range(121):
-                assert abs(done - t * c / 120) < 1
-                done += t in own
-
-
-def test_phases_use_every_block_once():
-    rng = random.Random(2)
-    for _ in range(100):
-        n = rng.randint(1, 10)
-        blocks = [rng.randint(0, 200) for _ in range(n)]
-        seen = []
-        for s, first, end, slot0, c, period, slots in mixing.phases([str(i) for i in range(n)], [rng.random() + 0.01 for _ in range(n)], blocks, 50):
-            seen += [(slot0 + i // c * period + slots[i % c], s, first + i) for i in range(end - first)]
-        assert sorted(x for x, _, _ in seen) == list(range(sum(blocks)))
-        assert {(s, b) for _, s, b in seen} == {(str(i), b) for i, k in enumerate(blocks) for b in range(k)}
-        for i in range(n):  # a source's blocks keep their order
-            own = [b for _, s, b in sorted(seen) if s == str(i)]
-            assert own == sorted(own)
+    for k in range(60):
+        n = rng.randint(1, 12)
+        weights = [rng.random() ** 3 + 1e-4 for _ in range(n)] if k % 3 else [1.0] * n
+        blocks = [rng.randint(0, 40) for _ in range(n)]
+        slots = mixing.slots_of(weights, blocks)
+        assert sorted(x for own in slots for x in own) == list(range(sum(blocks))) and [len(own) for own in slots] == blocks
+        assert all(own == sorted(own) for own in slots)
+        done, at = [0] * n, {t: s for s, own in enumerate(slots) for t in own}
+        for t, want in enumerate(fluid(weights, blocks, sum(blocks))):
+            assert all(abs(d - x) < 1 for d, x in zip(done, want, strict=True))
+            if t in at:
+                done[at[t]] += 1
+
+
+@pytest.mark.parametrize("weights", [[1.0, 1.0, 1.0], [0.9995] + [0.0005 / 400] * 400, [0.7, 0.2, 0.1 - 1e-9, 1e-9]], ids=["thirds", "tiny", "nines"])
+def test_target_weights_hold_over_many_slots(weights):
+    """Blocks enough that none runs out: less than one from the target weights in each of 10^5 slots."""
+    total, until = math.fsum(weights), 100_000
+    slots = mixing.slots_of(weights, [math.ceil(until * w / total) + 1 for w in weights])
+    for own, w in zip(slots, weights, strict=True):
+        for i, t in enumerate(x for x in own if x < until):
+            assert abs(i - t * w / total) < 1 + 1e-6 and abs(i + 1 - (t + 1) * w / total) < 1 + 1e-6
 
 
 @pytest.mark.parametrize("bucket_rows", [20_000, 40])
@@ -66,29 +80,22 @@ def test_mix(spark, monkeypatch, bucket_rows):
     assert out.columns == docs.columns and [r["doc_id"] for r in out.collect()] == ordered
 
 
-def plain_mix(rows, block, period=1000, weights=None):
+def plain_mix(rows, block, weights=None):
     """(id, slot, offset) of rows (id, source, chars, hash): slot by slot, of the released blocks the one due first."""
     sources = sorted({r[1] for r in rows})
     at, chars = {}, dict.fromkeys(sources, 0)
     for d, s, n, _ in sorted(rows, key=lambda r: r[3]):
         at[d] = (s, chars[s])
         chars[s] += n
-    weights = weights or {s: chars[s] ** 0.5 for s in sources}
-    left, now, slot_of, begun = {s: -(-chars[s] // block) for s in sources}, 0, {}, dict.fromkeys(sources, 0)
-    period = max(period, 4 * len(sources))
-    while left:
-        live = sorted(left)
-        share = dict(zip(live, mixing.quantise([weights[s] for s in live], period), strict=True))
-        done, t = dict.fromkeys(live, 0), 0
-        while all(left.values()):
-            ready = [(-(-(done[s] + 1) * period // share[s]), s) for s in live if done[s] * period // share[s] <= t]
-            if ready:
-                s = min(ready)[1]
-                slot_of[s, begun[s]] = now + t
-                begun[s], done[s], left[s] = begun[s] + 1, done[s] + 1, left[s] - 1
-            t += 1
-        now += t
-        left = {s: n for s, n in left.items() if n}
+    blocks = [-(-chars[s] // block) for s in sources]
+    far = list(fluid([(weights or {}).get(s, chars[s] ** 0.5) for s in sources], blocks, sum(blocks)))
+    released = {(k, i): max(t for t, x in enumerate(far) if x[k] <= i) for k, n in enumerate(blocks) for i in range(n)}
+    due = {(k, i): min(t for t, x in enumerate(far) if x[k] >= i + 1) for k, n in enumerate(blocks) for i in range(n)}
+    done, slot_of = [0] * len(blocks), {}
+    for t in range(sum(blocks)):
+        _, k = min((due[k, done[k]], k) for k, n in enumerate(blocks) if done[k] < n and released[k, done[k]] <= t)
+        slot_of[sources[k], done[k]] = t
+        done[k] += 1
     return {d: (slot_of[s, o // block], o) for d, (s, o) in at.items()}
 
 
