@@ -15,6 +15,32 @@ def term_counts(docs: DataFrame, topic_col: str = "topic", text_col: str = "text
     return words.where(F.length("token") >= shortest).groupBy("topic", "token").agg(F.count("*").alias("n"))
 
 
+def ngram_counts(docs: DataFrame, topic_col: str = "topic", text_col: str = "text", lengths: tuple[int, int] = (1, 1), least: float = 0.0, most: float = 1.0, vocabulary: int | None = None, pattern: str = "[^a-z]+", shortest: int = 2) -> DataFrame:
+    """(topic, token, n) like term_counts, of runs of `lengths` words, joined by a space, from the shortest to the longest.
+
+    least, most: the shares of documents, noise and null topics left out, that a token has to be in. vocabulary: of the tokens left, so many of the highest
+    counts over all topics, of equal ones the first in the alphabet. Words shorter than `shortest` are passed over before runs are made. Null
+    and empty texts are documents without tokens; repeated rows count each.
+    """
+    low, high = lengths
+    if not 1 <= low <= high:
+        raise ValueError("lengths are from 1, the shorter first")
+    kept = docs.where(F.col(topic_col).isNotNull() & (F.col(topic_col).cast("string") != str(NOISE)))
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), pattern), lambda w: F.length(w) >= shortest)
+    run = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    # the outer lambda binds the words, once
+    runs = kept.select(F.col(topic_col).alias("topic"), F.monotonically_increasing_id().alias("d"), F.transform(F.array(words), lambda w: F.concat(*(run(w, n) for n in range(low, high + 1))))[0].alias("t"))
+    # a row for each document and token of its own, with how often it has it
+    each = runs.select("topic", "d", F.explode("t").alias("token")).groupBy("topic", "d", "token").agg(F.count("*").alias("n"))
+    counted = each.groupBy("topic", "token").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
+    whole = counted.groupBy("token").agg(F.sum("n").alias("all"), F.sum("df").alias("df"))
+    total = F.broadcast(kept.agg(F.count("*").alias("docs")))  # one row
+    good = whole.crossJoin(total).where((F.col("df") >= F.lit(least) * F.col("docs")) & (F.col("df") <= F.lit(most) * F.col("docs")))
+    if vocabulary is not None:
+        good = good.orderBy(F.desc("all"), "token").limit(vocabulary)
+    return counted.join(good.select("token"), "token", "left_semi").select("topic", "token", "n")
+
+
 def class_tfidf(counts: DataFrame, seeds: tuple[str, ...] = (), seed_multiplier: float = 1.0, bm25: bool = True, reduce_frequent: bool = True) -> DataFrame:
     """(topic, token, n, score): share of the topic's tokens, its root if frequent ones are to be reduced, times idf.
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import first_match, header, replace_rules, replace_rules_in_batches, strip_punctuation, word_count
+from ..functions.rules import compounds, read_rules, rewrite
 from ..functions.text import GENERAL_RULES
-from ..operators import filings, sentences, topics
+from ..operators import boundaries, filings, sentences, topics
 from .registry import Registry, table
 
 REGISTRY = Registry()
@@ -72,6 +73,72 @@ def doc_sentences_counted_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.clean_sentences(found, rules=(), count_before_punctuation=True).select("doc_id", "pos", "sentence")
 
 
+_WS = r"[ \t\n\x0B\f\r]"
+
+
+def _core(x: str) -> str:
+    return rf"regexp_replace({x}, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}.]+$', '', 'g')"
+
+
+def _type(x: str) -> str:
+    bare = rf"regexp_replace({_core(x)}, '\.+$', '')"
+    return rf"CASE WHEN regexp_matches({bare}, '^[0-9][0-9.,/\-]*$') THEN '#' ELSE lower({bare}) END"
+
+
+def _stopped(x: str) -> str:
+    return rf"regexp_matches({_core(x)}, '[^.]\.$')"
+
+
+def _ratio(both: str, a: str, b: str, n: str) -> str:
+    part = lambda k, m, p: f"CASE WHEN {p} > 0 AND {p} < 1 THEN {k} * ln({p}) + ({m} - {k}) * ln(1 - {p}) ELSE 0 END"
+    p, p1, p2, rest = f"({b} / {n})", f"({both} / {a})", f"(({b} - {both}) / nullif({n} - {a}, 0))", f"({b} - {both})"
+    return f"-2 * ({part(both, a, p)} + {part(rest, f'({n} - {a})', p)} - {part(both, a, p1)} - {part(rest, f'({n} - {a})', p2)})"
+
+
+_LEARNT = rf"""split AS (SELECT list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '') AS w FROM documents),
+    spots AS (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM split),
+    each AS (SELECT w[i] AS word, CASE WHEN i = 1 THEN '' WHEN right(w[i - 1], 1) IN ('.', '!', '?', '"', chr(39), ')', ']') THEN w[i - 1] END AS ahead FROM spots),
+    counts AS (SELECT ahead, word, count(*) AS n FROM each WHERE {_core("word")} <> '' GROUP BY ALL),
+    kinds AS (SELECT {_type("word")} AS type, coalesce(sum(n) FILTER ({_stopped("word")}), 0)::BIGINT AS n_stop, coalesce(sum(n) FILTER (NOT {_stopped("word")}), 0)::BIGINT AS n_bare FROM counts GROUP BY 1),
+    total AS (SELECT sum(n_stop) AS stops, sum(n_stop + n_bare) AS n FROM kinds),
+    scored AS (SELECT type, n_stop, n_bare, len(replace(type, '.', '')) AS k, stops / n AS share FROM kinds, total WHERE n_stop > 0 AND regexp_matches(type, '\p{{L}}')),
+    abbreviations AS (SELECT type, n_stop, n_bare, 2 * (n_stop * ln(0.99) + n_bare * ln(0.01) - n_stop * ln(share) - n_bare * ln(1 - share)) * exp(-k) * (len(type) - k + 1) * pow(k, -n_bare) AS score
+      FROM scored WHERE score >= {boundaries.ABBREVIATION}),
+    pairs AS (SELECT {_type("ahead")} AS type, coalesce(regexp_matches(ahead, '[.!?]["'')\]]*$'), false) AS ends, coalesce({_stopped("ahead")}, false) AS stop, {_type("word")} AS next,
+      regexp_matches({_core("word")}, '^\p{{Lu}}') AS upper, regexp_matches({_core("word")}, '^\p{{Ll}}') AS lower, n FROM counts WHERE ahead IS NULL OR ahead <> ''),
+    told AS (SELECT *, ends AND stop AND (type IN (SELECT type FROM abbreviations) OR regexp_matches(type, '^\p{{L}}$')) IS TRUE AS short FROM pairs),
+    after AS (SELECT next, sum(n) AS n, coalesce(sum(n) FILTER (ends AND NOT short AND type IS DISTINCT FROM '#'), 0) AS n_over, coalesce(sum(n) FILTER (lower), 0) AS n_lower, coalesce(sum(n) FILTER (upper AND NOT ends), 0) AS n_inside FROM told GROUP BY next),
+    sums AS (SELECT sum(n) AS everything, sum(n_over) AS overs FROM after),
+    openers AS (SELECT next AS type, (n_over / nullif(overs, 0) > n / everything AND overs < everything AND {_ratio("n_over", "overs", "n", "everything")} >= {boundaries.OPENER} AND next <> '#') IS TRUE AS opens, n_lower > 0 AS lower, n_inside > 0 AS inside FROM after, sums),
+    both_seen AS (SELECT type, next, sum(n) AS n_both FROM told WHERE short GROUP BY ALL),
+    sides AS (SELECT *, (SELECT sum(x.n_both) FROM both_seen x WHERE x.type = b.type) AS n_type FROM both_seen b JOIN after USING (next), sums),
+    together AS (SELECT type, next FROM sides WHERE n_both / n_type > n / everything AND n_both > 1 AND n_type < everything AND {_ratio("n_both", "n_type", "n", "everything")} >= {boundaries.TOGETHER})"""
+
+
+@REGISTRY.add(f"WITH {_LEARNT} SELECT type, n_stop, n_bare, round(score, 6) AS score FROM abbreviations")
+def sentence_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the documents themselves show to be abbreviations."""
+    return boundaries.learn(table(spark, sf_dir, "documents")).abbreviations.withColumn("score", F.round("score", 6))
+
+
+@REGISTRY.add(
+    rf"""WITH {_LEARNT},
+    cut AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]["'')\]]*)({_WS}+)([^\p{{Ll}} \t\n\x0B\f\r])', '\1\2' || chr(1) || '\3', 'g'), chr(1)) AS p FROM documents WHERE text IS NOT NULL),
+    pieces AS (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM cut),
+    edges AS (SELECT doc_id, i, p[i] AS piece, regexp_extract(p[i], '([^ \t\n\x0B\f\r]+){_WS}*$', 1) AS last, regexp_extract(p[i + 1], '^([^ \t\n\x0B\f\r]+)', 1) AS first FROM pieces),
+    asked AS (SELECT doc_id, i, piece, {_type("last")} AS t, {_stopped("last")} AS stop, {_type("first")} AS f, coalesce(regexp_matches({_core("first")}, '^\p{{Lu}}'), false) AS upper FROM edges),
+    judged AS (SELECT doc_id, i, piece, NOT (stop AND (t IN (SELECT type FROM abbreviations) OR regexp_matches(t, '^\p{{L}}$')))
+      OR (upper AND (t, f) NOT IN (SELECT (type, next) FROM together) AND coalesce((SELECT o.opens OR (o.lower AND NOT o.inside) FROM openers o WHERE o.type = f), false)) AS cuts FROM asked),
+    numbered AS (SELECT *, coalesce(sum(cuts::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM judged),
+    whole AS (SELECT doc_id, s, regexp_replace(string_agg(piece, '' ORDER BY i), '^{_WS}+|{_WS}+$', '', 'g') AS sentence FROM numbered GROUP BY doc_id, s)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS pos, sentence FROM whole WHERE sentence <> ''"""
+)
+def doc_sentences_learnt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of all documents, cut by what the documents teach about abbreviations and words that open sentences."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return boundaries.split_learnt(docs, boundaries.learn(docs)).select("doc_id", "pos", "sentence")
+
+
 @REGISTRY.add()
 def doc_clean_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", replace_rules(F.col("text")).alias("cleaned"))
@@ -82,6 +149,26 @@ def doc_clean_full_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", replace_rules_in_batches(F.col("text"), GENERAL_RULES).alias("cleaned"))
 
 
+_PHRASES = 330
+
+
+@REGISTRY.add(
+    f"""WITH words AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: len(w) >= 2) AS w FROM documents),
+    pairs AS (SELECT w[i] || ' ' || w[i + 1] AS phrase FROM (SELECT w, unnest(range(1, len(w))) AS i FROM words)),
+    top AS (SELECT phrase, count(*) AS n FROM pairs GROUP BY phrase ORDER BY n DESC, phrase LIMIT {_PHRASES}),
+    rules AS (SELECT list(phrase ORDER BY n DESC, phrase) AS r FROM top)
+    SELECT doc_id, trim(regexp_replace(list_reduce(list_prepend(lower(text), r), lambda t, p: replace(t, p, replace(p, ' ', ''))), '\\s+', ' ', 'g'), ' ') AS cleaned FROM documents, rules"""
+)
+def doc_clean_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of 330 rules, which write the commonest phrases as one word each, one after the other."""
+    docs = table(spark, sf_dir, "documents")
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 2)
+    pairs = F.transform(F.col("w"), lambda w, i: F.concat_ws(" ", w, F.get(F.col("w"), i + 1)))
+    phrases = docs.select(words.alias("w")).select(F.explode(pairs).alias("phrase")).where("phrase like '% %'").groupBy("phrase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(_PHRASES)
+    rules = read_rules(compounds(phrases.select("phrase", (-F.col("n")).alias("place"))))
+    return docs.select("doc_id", rewrite(F.col("text"), rules).alias("cleaned"))
+
+
 @REGISTRY.add(
     """SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)', 1), '') AS title, nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), '') AS lang,
     nullif(regexp_extract(url, '^https?://([^/?#]+)', 1), '') AS host FROM pages"""
@@ -197,3 +284,16 @@ def ctfidf_top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def keyword_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.keyword_matrix(_term_counts(spark, sf_dir), ("the", "of", "and", "de", "der", "que", "absent"))
+
+
+@REGISTRY.add(
+    """WITH w AS (SELECT doc_id, lang AS topic, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda x: len(x) >= 2) AS w FROM documents),
+    runs AS (SELECT doc_id, topic, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS token FROM w),
+    each AS (SELECT doc_id, topic, token, count(*) AS n FROM runs GROUP BY ALL),
+    whole AS (SELECT token, sum(n) AS n, count(*) AS df FROM each GROUP BY token),
+    good AS (SELECT token FROM whole WHERE df >= 0.02 * (SELECT count(*) FROM w) AND df <= 0.6 * (SELECT count(*) FROM w) ORDER BY n DESC, token LIMIT 300)
+    SELECT topic, token, sum(n)::BIGINT AS n FROM each WHERE token IN (SELECT token FROM good) GROUP BY topic, token"""
+)
+def ngram_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and pairs of words in 2 to 60 % of all documents, the 300 commonest."""
+    return topics.ngram_counts(table(spark, sf_dir, "documents"), "lang", "text", (1, 2), 0.02, 0.6, 300)

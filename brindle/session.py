@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive execution sizes shuffles and splits skewed joins at run time; results are compared in UTC.
 SETTINGS = {
@@ -22,3 +24,23 @@ def session(name: str = "brindle", master: str | None = None, **conf: str) -> Sp
     for k, v in (SETTINGS | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset, in local mode alone, a temporary one."""
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if named is None and known.isEmpty():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="brindle-")
+    if known.isEmpty():
+        context.setCheckpointDir(named)
+    return named or known.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder, without their lineage."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
