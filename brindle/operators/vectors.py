@@ -25,8 +25,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def usable(a: Column) -> Column:
+    """Whether a vector is there, and all its entries are numbers."""
+    values = a.cast("array<double>")
+    bad = F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return a.isNotNull() & (F.size(a) > 0) & ~bad
+
+
+def commonest_size(rows: DataFrame, vector_col: str = "v") -> int | None:
+    """The commonest length of usable vectors, of equally common ones the greatest; null without any."""
+    best = rows.where(usable(F.col(vector_col))).groupBy(F.size(vector_col).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    return best["d"] if best else None
+
+
 def centroids(vectors: DataFrame, label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
-    """(topic, centroid): the mean vector of each label, without collecting a label's vectors."""
+    """(topic, centroid): the mean vector of each label, without collecting a label's vectors. Null labels and vectors count nowhere; a zero vector does."""
     parts = vectors.where(F.col(label_col).isNotNull()).select(F.col(label_col).alias("topic"), F.posexplode(vector_col).alias("i", "x"))
     means = parts.groupBy("topic", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return means.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
@@ -43,25 +56,29 @@ def _few(rows: DataFrame) -> DataFrame:
 
 
 def topic_distances(vectors: DataFrame, of: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, topic, distance, rank): cosine distance to every centroid, nearest first; ties by topic."""
+    """(id, topic, distance, rank): cosine distance to every centroid, nearest first; ties by topic.
+
+    Vectors that have no direction, or another length than a centroid, have no distance to it and no row: null, zero and not finite ones. Ids are to be unique.
+    """
     pairs = vectors.select(F.col(id_col), F.col(vector_col).alias("__v")).crossJoin(_few(of))
-    known = pairs.select(id_col, "topic", (1 - cosine(F.col("__v"), F.col("centroid"))).alias("distance"))
+    known = pairs.select(id_col, "topic", (1 - cosine(F.col("__v"), F.col("centroid"))).alias("distance")).where(F.col("distance").isNotNull() & ~F.isnan("distance"))
     return known.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy("distance", "topic")))
 
 
 def assign_topics(vectors: DataFrame, of: DataFrame, temperature: float = 10.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, topic, distance, entropy): the nearest topic and the entropy of softmax(-temperature * distance).
 
-    The centroids come along as one array, so that each vector is one row throughout and nothing is shuffled.
+    The centroids come along as one array, so that each vector is one row throughout and nothing is shuffled. Vectors without a distance to any, as null,
+    zero, not finite ones and those of another length, have a null topic, distance and entropy; all rows stay.
     """
     all_of = _few(of).agg(F.array_sort(F.collect_list(F.struct("topic", "centroid"))).alias("__c"))
     near = vectors.select(F.col(id_col), F.col(vector_col).alias("__v")).crossJoin(F.broadcast(all_of)).select(  # one row, of MAX_TOPICS at most
-        id_col, F.transform("__c", lambda c: F.struct((1 - cosine(F.col("__v"), c["centroid"])).alias("d"), c["topic"].alias("t"))).alias("__d")
+        id_col, F.filter(F.transform("__c", lambda c: F.struct((1 - cosine(F.col("__v"), c["centroid"])).alias("d"), c["topic"].alias("t"))), lambda x: x["d"].isNotNull() & ~F.isnan(x["d"])).alias("__d")
     )
     weights = near.withColumn("__e", F.transform("__d", lambda x: F.exp(-F.lit(temperature) * x["d"])))
     summed = weights.withColumn("__s", F.aggregate("__e", F.lit(0.0), lambda s, x: s + x)).withColumn("__n", F.array_min("__d"))
     entropy = F.aggregate("__e", F.lit(0.0), lambda h, x: h - x / F.col("__s") * F.log(x / F.col("__s") + F.lit(1e-8)))
-    return summed.select(id_col, F.col("__n.t").alias("topic"), F.col("__n.d").alias("distance"), entropy.alias("entropy"))
+    return summed.select(id_col, F.col("__n.t").alias("topic"), F.col("__n.d").alias("distance"), F.when(F.col("__n").isNotNull(), entropy).alias("entropy"))
 
 
 def intertopic_cosine(of: DataFrame) -> DataFrame:
@@ -108,9 +125,10 @@ def nearest(left: DataFrame, right: DataFrame, k: int, metric: str = "cosine", o
 
     Exact. others: rows of a row's own id don't count. A right side of at most MOST_SENT numbers is sent to all executors, so that left is only read;
     of a larger one pairs of blocks are tasks that return the k best of each row, and these are merged.
-    Rows with a null id or vector take no part.
+    Rows of a null id take no part, nor do vectors that are null, not finite or of another length than right's commonest. A zero vector has the cosine distance 1.
     """
-    left, right = (df.where("id is not null and v is not null") for df in (left, right))
+    dimension = commonest_size(right) or 0
+    left, right = (df.where(F.col("id").isNotNull() & usable(F.col("v")) & (F.size("v") == dimension)) for df in (left, right))
     size = right.agg(F.count("*").alias("n"), F.sum(F.size("v")).alias("m")).first()
     schema = "q long, neighbour long, distance double"
 
@@ -156,9 +174,12 @@ def silhouettes(vectors: DataFrame, folds: int = 20, id_col: str = "vec_id", lab
     """(id, label, fold, silhouette): computed inside folds that are stratified by label.
 
     Folds are dealt in turn by a checksum of the id in each label. A row alone in its label has 0. A fold's pairs of blocks are tasks that
-    add up distances by label, so a fold may be of any size. Ids are to be unique.
+    add up distances by label, so a fold may be of any size. Ids are to be unique. Rows of a null label, or of a vector that is null, not finite or of
+    another length than the commonest, have no row and count nowhere. With the cosine metric use cosine_silhouettes, which needs no pairs.
     """
     kinds = dict(vectors.dtypes)
+    dimension = commonest_size(vectors, vector_col) or 0
+    vectors = vectors.where(F.col(label_col).isNotNull() & usable(F.col(vector_col)) & (F.size(vector_col) == dimension))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("lab"), F.col(vector_col).cast("array<double>").alias("v"))
     dealt = ranked(rows, ["lab"], "id").withColumn("fold", (F.col("__r") % folds).cast("int")).drop("__r", "__n")
     sizes = dealt.groupBy("fold", "lab").agg(F.count("*").alias("n"))
@@ -192,6 +213,34 @@ def silhouettes(vectors: DataFrame, folds: int = 20, id_col: str = "vec_id", lab
     return sides.select(F.col("id").alias(id_col), F.col("lab").alias(label_col), "fold", score.alias("silhouette"))
 
 
+def cosine_silhouettes(vectors: DataFrame, folds: int = 1, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
+    """(id, label, fold, silhouette) by cosine distance, exact, without pairs: in time that grows with rows times labels.
+
+    The mean distance of a vector to a label's vectors is 1 less its product with the sum of their unit vectors over their number; its own is
+    left out of its label's by the number alone, as it is at distance 0. Folds are dealt by a checksum of the id; one fold, by default, is the whole table. A row
+    alone in its label has 0, and so have all where there is one label. Rows of a null label, and of vectors that are null, zero, not finite or
+    of another length than the commonest, have no row and count nowhere; repeated rows count each. At most MAX_TOPICS labels and folds.
+    """
+    rows = vectors.where(F.col(label_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(label_col).alias("lab"), F.col(vector_col).cast("array<double>").alias("v"))
+    dimension = commonest_size(rows) or 0
+    sized = rows.where(F.size("v") == dimension).withColumn("l", norm(F.col("v"))).where("l > 0")
+    fold = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(folds)).cast("int")
+    unit = sized.select("id", "lab", fold.alias("fold"), F.transform("v", lambda x: F.try_divide(x, F.col("l"))).alias("u"))
+    # sums of each place, a few values for each label: an entry at a time, so that the width doesn't matter
+    sums = unit.select("fold", "lab", F.posexplode("u").alias("i", "x")).groupBy("fold", "lab", "i").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    labels = sums.groupBy("fold", "lab").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("s"))
+    if labels.limit(MAX_TOPICS + 1).count() > MAX_TOPICS:
+        raise ValueError(f"more than {MAX_TOPICS} labels and folds")
+    of_fold = F.broadcast(labels.groupBy("fold").agg(F.collect_list(F.struct("lab", "n", "s")).alias("of")))
+    far = unit.join(of_fold, "fold").select("id", "lab", "fold", F.transform("of", lambda c: F.struct(c["lab"].alias("lab"), c["n"].alias("n"), (c["n"] - dot(F.col("u"), c["s"])).alias("d"))).alias("d"))
+    own = F.filter("d", lambda c: c["lab"] == F.col("lab"))[0]
+    a = F.when(own["n"] > 1, F.try_divide(F.greatest(own["d"], F.lit(0.0)), own["n"] - 1))
+    b = F.array_min(F.transform(F.filter("d", lambda c: c["lab"] != F.col("lab")), lambda c: F.greatest(c["d"] / c["n"], F.lit(0.0))))
+    sides = far.select("id", "lab", "fold", a.alias("a"), b.alias("b"))
+    score = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    return sides.select(F.col("id").alias(id_col), F.col("lab").alias(label_col), "fold", score.alias("silhouette"))
+
+
 def infer(rows: DataFrame, load: Callable[[], Callable[[pd.Series], np.ndarray]], input_col: str, out: str, kind: str = "array<double>") -> DataFrame:
     """rows with a model's output for each batch of inputs; the model is loaded once in each worker."""
 

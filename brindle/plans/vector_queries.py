@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import routing, vectors
+from ..operators import routing, vector_index, vectors
+from ..session import shared_dir
 from .registry import CRC, Registry, crc, table
 
 REGISTRY = Registry()
@@ -96,6 +99,27 @@ def silhouette_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.silhouettes(_vectors(spark, sf_dir), _FOLDS).withColumn("silhouette", F.round("silhouette", 7))
 
 
+@REGISTRY.add(
+    """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL),
+    far AS (SELECT a.vec_id, a.label, b.label AS other, avg(1 - list_cosine_similarity(a.e, b.e)) FILTER (b.vec_id <> a.vec_id) AS d, count(*) FILTER (b.vec_id <> a.vec_id) AS n FROM v a, v b GROUP BY ALL),
+    sides AS (SELECT vec_id, label, max(d) FILTER (other = label AND n > 0) AS inner_d, min(d) FILTER (other <> label) AS outer_d FROM far GROUP BY vec_id, label)
+    SELECT vec_id, label, round(coalesce((outer_d - inner_d) / greatest(outer_d, inner_d), 0), 7) AS silhouette FROM sides"""
+)
+def silhouette_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the whole table at once: no folds are needed."""
+    return vectors.cosine_silhouettes(_vectors(spark, sf_dir)).select("vec_id", "label", F.round("silhouette", 7).alias("silhouette"))
+
+
+@REGISTRY.add()
+def knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of ids divisible by 50 ask a stored index of all rows for their ten nearest others."""
+    v = _vectors(spark, sf_dir)
+    folder = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    vector_index.build(v, folder)
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return vector_index.search(spark, asked, folder, 10, others=True).select(F.col("q").alias("vec_id"), "rank", "neighbour", "distance")
+
+
 @REGISTRY.add(
     f"""WITH {_ENTROPY}, own AS (SELECT e.vec_id, e.label, 1 - r.distance AS s FROM embeddings e JOIN ranked r ON r.vec_id = e.vec_id AND r.topic = e.label)
     SELECT a.vec_id, a.topic, round(a.entropy, 9) AS entropy, round(o.s, 9) AS score FROM assigned a JOIN own o USING (vec_id) WHERE o.s < 0.5 AND a.entropy > 0.5"""
