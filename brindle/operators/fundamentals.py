@@ -161,7 +161,7 @@ def filing_windows(filings: DataFrame) -> DataFrame:
 def macro_last(filings: DataFrame, macro: DataFrame, indicators: list[str], at: str = "period_of_report") -> DataFrame:
     """filings with <indicator>_last: the value of the last macro date up to theirs."""
     named = macro.select("date", *(F.col(i).alias(f"{i}_last") for i in indicators))
-    return asof_small(filings, named, at, "date", [f"{i}_last" for i in indicators]).drop("date")
+    return asof_small(filings, named, at, "date", [f"{i}_last" for i in indicators])
 
 
 def macro_mean(filings: DataFrame, macro: DataFrame, indicators: list[str], start: str = "previous_period", end: str = "period_of_report") -> DataFrame:
@@ -173,9 +173,9 @@ def macro_mean(filings: DataFrame, macro: DataFrame, indicators: list[str], star
     # a row for each day that has macro figures, which are few
     sums = macro.select("date", *(x for i in indicators for x in (F.sum(F.coalesce(i, F.lit(0.0))).over(order).alias(f"{i}__s"), F.count(i).over(order).alias(f"{i}__n"))))
     names = [f"{i}__{k}" for i in indicators for k in "sn"]
-    ends = asof_small(filings, sums, end, "date", names).drop("date")
+    ends = asof_small(filings, sums, end, "date", names)
     before = sums.select(F.col("date"), *(F.col(n).alias(f"{n}0") for n in names))
-    both = asof_small(ends.withColumn("__b", F.date_sub(start, 1)), before, "__b", "date", [f"{n}0" for n in names]).drop("date", "__b")
+    both = asof_small(ends.withColumn("__b", F.date_sub(start, 1)), before, "__b", "date", [f"{n}0" for n in names]).drop("__b")
     diff = lambda n: F.coalesce(F.col(n), F.lit(0)) - F.coalesce(F.col(f"{n}0"), F.lit(0))
     return both.withColumns({f"{i}_mean": F.try_divide(diff(f"{i}__s"), diff(f"{i}__n")) for i in indicators}).drop(*names, *(f"{n}0" for n in names))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import welch
+from ..functions.stats import poisson_cuts, welch
 from .joins import within_interval
 
 LONG, SHORT, NONE = 1, 0, -1
@@ -120,17 +122,14 @@ def bootstrap_hedge(rows: DataFrame, rounds: int = 1000, seed: int = 42, group:
     rounds are independent of how rows are dealt out, and sums are all that travels.
     """
     key = F.col("year") if by_year else F.struct("ticker", "year")
-    kept = _taken(rows, group, weighted).select(key.alias("__k"), group, "excess_return", "market_cap")
+    cap = F.col("market_cap") if weighted else F.lit(1.0)
+    kept = _taken(rows, group, weighted).select(key.alias("__k"), group, (cap * F.col("excess_return")).alias("__x"), cap.cast("double").alias("__c"))
+    # what is drawn together is added up before: years are few, and rounds then multiply these alone
+    kept = kept.groupBy("__k", group).agg(F.sum("__x").alias("__x"), F.sum("__c").alias("__c"))
     drawn = kept.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     u = F.pmod(F.xxhash64("__k", "round", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    cumulative, total, term = [], 0.0, 2.718281828459045**-1
-    for k in range(9):
-        total += term
-        cumulative.append(total)
-        term /= k + 1
-    times = sum((F.when(u >= c, 1).otherwise(0) for c in cumulative[1:]), F.when(u >= cumulative[0], 1).otherwise(0))
-    weight = times.cast("double") * (F.col("market_cap") if weighted else F.lit(1.0))
-    side = lambda s: F.try_divide(F.sum(F.when(F.col(group) == s, weight * F.col("excess_return"))), F.sum(F.when(F.col(group) == s, weight)))
+    times = sum((F.when(u >= c, 1).otherwise(0) for c in poisson_cuts()), F.lit(0)).cast("double")
+    side = lambda s: F.try_divide(F.sum(F.when(F.col(group) == s, times * F.col("__x"))), F.sum(F.when(F.col(group) == s, times * F.col("__c"))))
     each = drawn.groupBy("round").agg((side(LONG) - side(SHORT)).alias("h")).where("h is not null")
     ends = F.percentile("h", F.array(F.lit(0.025), F.lit(0.975)))
     share = lambda test: F.avg(test.cast("double"))
@@ -138,11 +137,42 @@ def bootstrap_hedge(rows: DataFrame, rounds: int = 1000, seed: int = 42, group:
 
 
 def permutation_hedge(rows: DataFrame, rounds: int = 1000, seed: int = 42, group: str = "position", weighted: bool = False) -> DataFrame:
-    """One row: the hedge return and the shares of random sides of the same sizes that do as well, two- and one-sided."""
-    kept = _taken(rows, group, weighted).select("ticker", "year", group, "excess_return", "market_cap")
-    real = hedge_summary(kept, group, weighted).select("hedge_return", "n_long")
-    drawn = kept.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    order = Window.partitionBy("round").orderBy(F.xxhash64("ticker", "year", "round", F.lit(seed)), "ticker", "year")
-    dealt = drawn.withColumn("__n", F.row_number().over(order)).crossJoin(F.broadcast(real)).withColumn("__side", F.when(F.col("__n") <= F.col("n_long"), LONG).otherwise(SHORT))  # one row
-    each = dealt.groupBy("round", "hedge_return").agg((_mean(LONG, "__side", weighted) - _mean(SHORT, "__side", weighted)).alias("h"))
-    return each.groupBy("hedge_return").agg(F.avg((F.abs("h") >= F.abs("hedge_return")).cast("double")).alias("p_two_sided"), F.avg((F.col("h") >= F.col("hedge_return")).cast("double")).alias("p_one_sided"))
+    """One row: the hedge return and the shares of random sides of the same sizes that do as well, two- and one-sided.
+
+    In each round the rows with the lowest hashes of row, round and seed, as many as are long, make the long side. Which hash is the last of
+    them is known up to a small share: rows clearly below it are added up where they are, and only those around it, about the root of the
+    number of rows in each round, are ranked. So what is shuffled hardly grows with rows times rounds. Rows of one ticker and year are to be unique;
+    without rows of both sides the values are null.
+    """
+    kept = _taken(rows, group, weighted).select("ticker", "year", group, "excess_return", (F.col("market_cap") if weighted else F.lit(1.0)).cast("double").alias("__c"))
+    kept = kept.withColumn("__x", F.col("excess_return") * F.col("__c"))
+    real = kept.agg(F.count("*").alias("n"), F.count_if(F.col(group) == LONG).alias("long"), F.sum("__x").alias("x"), F.sum("__c").alias("c"), F.sum(F.when(F.col(group) == LONG, F.col("__x"))).alias("lx"), F.sum(F.when(F.col(group) == LONG, F.col("__c"))).alias("lc")).first()
+    empty = kept.sparkSession.createDataFrame([(None, None, None)], "hedge_return double, p_two_sided double, p_one_sided double")
+    if not real["n"] or not 0 < real["long"] < real["n"]:
+        return empty
+    x, c, n, longs = real["x"], real["c"], real["n"], real["long"]
+    hedge = real["lx"] / real["lc"] - (x - real["lx"]) / (c - real["lc"])
+    share = longs / n
+    spread = 8 * math.sqrt(share * (1 - share) / n) + 2 / n
+    drawn = kept.select("ticker", "year", "__x", "__c", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("__h", F.xxhash64("ticker", "year", "round", F.lit(seed)))
+    u = F.col("__h").cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    for _ in range(8):
+        low, high = share - spread, share + spread
+        sure = drawn.where(u < low).groupBy("round").agg(F.count("*").alias("k"), F.sum("__x").alias("sx"), F.sum("__c").alias("sc"))
+        near = drawn.where((u >= low) & (u < high))
+        order = Window.partitionBy("round").orderBy("__h", "ticker", "year")
+        ranked = near.withColumn("__n", F.row_number().over(order)).join(F.broadcast(sure), "round", "left")  # a row for each round
+        more = ranked.groupBy("round").agg(
+            F.count("*").alias("m"), F.first("k").alias("k"), F.first("sx").alias("sx"), F.first("sc").alias("sc"),
+            *(F.sum(F.when(F.col("__n") + F.coalesce("k", F.lit(0)) <= longs, F.col(v))).alias(f"m{v}") for v in ("__x", "__c")),
+        )
+        zero = lambda v: F.coalesce(v, F.lit(0.0))
+        lx, lc = zero("sx") + zero("m__x"), zero("sc") + zero("m__c")
+        fits = (F.coalesce("k", F.lit(0)) <= longs) & (F.coalesce("k", F.lit(0)) + F.col("m") >= longs)
+        h = F.try_divide(lx, lc) - F.try_divide(F.lit(x) - lx, F.lit(c) - lc)
+        same = F.lit(abs(hedge) * (1 - 1e-12))  # rounding is no difference
+        out = more.select(fits.alias("fits"), h.alias("h")).agg(F.count_if("fits").alias("rounds"), F.avg((F.abs("h") >= same).cast("double")).alias("p_two_sided"), F.avg((F.col("h") >= (same if hedge >= 0 else F.lit(hedge * (1 + 1e-12)))).cast("double")).alias("p_one_sided")).first()
+        if out["rounds"] == rounds:
+            return kept.sparkSession.createDataFrame([(hedge, out["p_two_sided"], out["p_one_sided"])], empty.schema)
+        spread *= 4  # it takes a hash that is far from even
+    raise RuntimeError("hashes are far from even")
