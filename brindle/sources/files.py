@@ -19,8 +19,8 @@ ANSWERS = "sentence_index long, sentence string, prompt string, topic string, ex
 def read_archives(spark: SparkSession, path: str, name_has: str = "_10-K_", suffix: str = "*.zip") -> DataFrame:
     """(archive, entry, text): a row for each member of the zip files whose name has the keyword, decoded as UTF-8.
 
-    An archive beyond spark.sql.sources.binaryFile.maxLength is an error, none is left out. Members are read one at a time; an archive is one
-    task, as zip files can't be split.
+    For stores that only Spark's own readers open: an archive is one task and beyond spark.sql.sources.binaryFile.maxLength it is an error;
+    archives.read_members splits them.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").load(path)
     files = files.select("path", "content")
@@ -47,6 +47,7 @@ def read_answers(spark: SparkSession, path: str, schema: str = ANSWERS) -> DataF
 
 
 def append_answers(answers: DataFrame, path: str) -> None:
+    """Add rows as JSON lines; a run that is repeated adds them again, unlike archives.append_batch."""
     answers.write.mode("append").json(path)
 
 
@@ -61,6 +62,30 @@ def write_table(rows: DataFrame, path: str, by: tuple[str, ...] = (), mode: str
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def write_results(rows: DataFrame, path: str, experiment: Experiment, model: str) -> None:
+    """The results of a model's run, in place of those of the same settings; results of all others stay as they are.
+
+    The table is partitioned by model and settings, and only the partition of this run is overwritten. Columns named like the settings are replaced.
+    """
+    keys = experiment.partition(model)
+    named = rows.select(*(F.col(f"`{c}`") for c in rows.columns if c not in keys), *(F.lit(v).alias(k) for k, v in keys.items()))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def read_results(spark: SparkSession, path: str, experiment: Experiment | None = None, model: str | None = None) -> DataFrame:
+    """Results of all runs, or of those with an experiment's settings or of a model: only their partitions are read."""
+    rows = spark.read.option("recursiveFileLookup", "false").parquet(path)
+    keys = experiment.partition(model or "") if experiment else {}
+    for k, v in ({k: v for k, v in keys.items() if k != "model"} | ({"model": model} if model else {})).items():
+        rows = rows.where(F.col(k).cast("string") == v)
+    return rows
+
+
+def write_bucketed(rows: DataFrame, table: str, by: tuple[str, ...], buckets: int) -> None:
+    """A table in the warehouse whose rows are dealt and sorted by the keys: joins of such tables on them, with as many buckets, need no exchange."""
+    rows.write.mode("overwrite").bucketBy(buckets, *by).sortBy(*by).format("parquet").saveAsTable(table)
+
+
 def read_vectors(spark: SparkSession, pattern: str) -> DataFrame:
     """The vectors of all batches whose paths match, with file and row, by which they are in order: batches by name, then as written."""
     rows = spark.read.parquet(pattern)
