@@ -18,8 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _OTHER = re.compile(r"[\W_]+")
-#: Characters of an item in normal form, with the spaces around, under which it matches nothing: `yes` or `42` is in most texts, copied or not.
-LEAST_ITEM = 18
 #: Characters of test items that one automaton may hold, and so one broadcast; more are taken in turns.
 ITEM_CHARS = 8_000_000
 
@@ -69,13 +67,13 @@ def best_match(pattern: str, text: str) -> tuple[int, int]:
 
 
 class Matcher:
-    """Finds test items in documents, each with its own number of edits."""
+    """Finds test items in documents, each with its own number of edits; those of fewer than `least` characters, with the spaces around, are left out."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, least: int = 0):
         self.items, self.errors = [], []
         held: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            if len(text) < LEAST_ITEM:
+            if len(text) < least:
                 continue
             # the spaces around count as characters: an item begins and ends with whole words where it has no edits
             errors = budget(len(text) - 2, rate)
@@ -101,6 +99,9 @@ class Matcher:
         for k, starts in spots.items():
             item_id, item = self.items[k]
             errors, found = self.errors[k], None
+            if not errors:  # the item is its one piece, and each hit a match
+                out.append((item_id, 0, 0, min(starts) + len(item)))
+                continue
             low = high = None
             for s in [*sorted(starts), None]:
                 if s is not None and low is not None and s - high <= errors:
@@ -120,14 +121,15 @@ class Matcher:
         return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", rate: float = 0.06) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", rate: float = 0.06, least: int = 0) -> DataFrame:
     """(doc_id, item_id, distance, budget, end): the items that each document holds with few edits.
 
     A document holds an item when a substring of it, both in normal form, is within
     int(rate * length of the item) edits of the item. Each pair is one row, with the least
     distance and where in the normal form that first ends.
 
-    Null, empty and wordless documents and items match nothing, nor do items under LEAST_ITEM characters in normal form. Texts are read whole at any length. Equal items
+    An item too short for an edit is found as it is, as whole words: under 17 characters with a rate of 0.06. Null, empty and wordless documents and items match
+    nothing, nor do items under `least` characters in normal form, with the spaces around, by which a caller may leave out items like `yes`. Texts are read whole at any length. Equal items
     are matched each on their own, and of equally near places the first counts; repeated documents are reported each. Empty tables give no
     rows, and other columns are ignored, of whatever names.
     """
@@ -143,7 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         sent = spark.sparkContext.broadcast([(r["item_id"], n) for r in own if (n := normal(r["t"]))])
 
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(sent.value, rate)
+            matcher = Matcher(sent.value, rate, least)
             for batch in batches:
                 out = [(doc, *hit) for doc, text in zip(batch["doc_id"], batch["text"], strict=True) for hit in matcher.find(normal(text))]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "distance", "budget", "end"]).astype({"doc_id": "Int64", "item_id": "Int64", "distance": "int32", "budget": "int32", "end": "int64"})
@@ -153,7 +155,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.06, **columns: str) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.06, least: int = 0, **columns: str) -> DataFrame:
     """The rows of docs that hold no test item, with their columns; in one pass, without a join.
 
     Defined as in contaminated(): rows of null or empty text stay, and so do those of a null id that hold no item; repeated rows stay or go
@@ -168,13 +170,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         own = items.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(turns)) == turn).orderBy("item_id", "t").collect()
         sent = spark.sparkContext.broadcast([(r["item_id"], n) for r in own if (n := normal(r["t"]))])
 
-        kept = kept.where(F.pandas_udf(_free_of(sent, rate), "boolean")(F.col(text_col).cast("string")))
+        kept = kept.where(F.pandas_udf(_free_of(sent, rate, least), "boolean")(F.col(text_col).cast("string")))
     return kept
 
 
-def _free_of(sent: Broadcast, rate: float) -> Callable:
+def _free_of(sent: Broadcast, rate: float, least: int) -> Callable:
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(sent.value, rate)
+        matcher = Matcher(sent.value, rate, least)
         for texts in batches:
             yield pd.Series([not matcher.find(normal(t)) for t in texts], dtype=bool)
 
