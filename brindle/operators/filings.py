@@ -9,19 +9,19 @@ from ..functions.text import header, word_count
 
 
 def with_header(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the header's fields as columns."""
+    """docs with the header's fields as columns, null where a null or empty text doesn't say; columns of these names are replaced."""
     return docs.withColumns(header(F.col(text_col)))
 
 
 def first_of_accession(filings: DataFrame, key: str = "accession_number", order: tuple[str, ...] = ("archive", "entry")) -> DataFrame:
-    """The first filing of each accession number; those without one all stay."""
+    """The first filing of each accession number, all of equally first ones; those without one all stay. An empty table gives no rows."""
     first = filings.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order)).alias("__first"))
     same = filings.join(first, key, "left")
     return same.where(F.col("__first").isNull() | F.col("__first").eqNullSafe(F.struct(*order))).select(*(F.col(f"`{c}`") for c in filings.columns))
 
 
 def allowed(filings: DataFrame, ciks: DataFrame, key: str = "cik") -> DataFrame:
-    """The filings whose company is on the list."""
+    """The filings whose company is on the list, repeated ones each; a null company is on none, and an empty list has none."""
     return filings.join(ciks.select(key).distinct(), key, "left_semi")
 
 

@@ -14,7 +14,10 @@ LONG, SHORT, NONE = 1, 0, -1
 
 
 def attach_predictions(rows: DataFrame, predictions: DataFrame, keys: tuple[str, ...] = ("ticker", "year")) -> DataFrame:
-    """rows with prob, y_pred and y_true of the prediction with the same keys."""
+    """rows with prob, y_pred and y_true of the prediction with the same keys.
+
+    Rows without a prediction, and those of null keys, are left out; a key that is predicted more than once repeats its rows.
+    """
     return rows.join(predictions.select(*keys, "prob", "y_pred", "y_true"), list(keys))
 
 
@@ -22,6 +25,7 @@ def holding_periods(rows: DataFrame, filings: DataFrame, shift: int = 0, wait: i
     """rows with start_date and end_date: from `wait` months after the period of the filing that was known, for `months`.
 
     A row of year y is known from the filing of year y - 1 + shift; month ends are kept within the month.
+    Rows without such a filing are left out; several filings of a year repeat the row.
     """
     known = filings.select("ticker", (F.col("year") + 1 - shift).alias("year"), "period_of_report")
     start = F.add_months("period_of_report", wait)
@@ -36,7 +40,7 @@ def daily_returns(prices: DataFrame) -> DataFrame:
 
 
 def market_returns(index: DataFrame) -> DataFrame:
-    """(date, market_return) of an index (date, price): one row a day, so one window."""
+    """(date, market_return) of an index (date, price): one row a day, so one window. Null after a null or zero price; an empty index gives no rows."""
     order = Window.orderBy("date")
     return index.select("date", (F.try_divide("price", F.lag("price").over(order)) - 1).alias("market_return"))
 
@@ -51,7 +55,7 @@ def market_caps(metrics: DataFrame) -> DataFrame:
 def cumulative_returns(held: DataFrame, daily: DataFrame, market: DataFrame, least_days: int = 210) -> DataFrame:
     """held rows with trading_days and compounded stock_return, market_return and excess_return from start to before the end.
 
-    Days count that the market has too; rows with fewer than least_days go.
+    Days count that the market has too; rows with fewer than least_days go. A day of a null return counts, and changes nothing.
     """
     days = within_interval(held, daily.select("ticker", "date", "daily_return"), F.col("start_date"), F.date_sub("end_date", 1), "date", ["ticker"])
     both = days.join(market, "date")
@@ -60,12 +64,12 @@ def cumulative_returns(held: DataFrame, daily: DataFrame, market: DataFrame, lea
 
 
 def with_positions(rows: DataFrame, long_from: float = 0.5, short_to: float = 0.5, prob: str = "prob") -> DataFrame:
-    """position 1 from long_from, 0 up to short_to, which wins where both hold, else -1."""
+    """position 1 from long_from, 0 up to short_to, which wins where both hold, else -1, as for a null score."""
     return rows.withColumn("position", F.when(F.col(prob) <= short_to, SHORT).when(F.col(prob) >= long_from, LONG).otherwise(NONE))
 
 
 def yearly_means(rows: DataFrame) -> DataFrame:
-    """(year, market_mean, stock_mean, weighted_mean), the last by market cap where that is positive."""
+    """(year, market_mean, stock_mean, weighted_mean), the last by market cap where that is positive; null returns don't count, a null year is a year."""
     cap = F.when(F.col("market_cap") > 0, F.col("market_cap"))
     return rows.groupBy("year").agg(F.avg("market_return").alias("market_mean"), F.avg("stock_return").alias("stock_mean"), F.try_divide(F.sum(F.col("stock_return") * cap), F.sum(F.when(F.col("stock_return").isNotNull(), cap))).alias("weighted_mean"))
 
@@ -93,7 +97,7 @@ def hedge_summary(rows: DataFrame, group: str = "position", weighted: bool = Fal
 
 
 def hedge_by_year(rows: DataFrame, group: str = "position", weighted: bool = False) -> DataFrame:
-    """(year, hedge_return) of the years that have both sides."""
+    """(year, hedge_return) of the years that have both sides; rows of a null return are left out."""
     kept = _taken(rows, group, weighted).groupBy("year").agg(F.count_distinct(group).alias("__n"), (_mean(LONG, group, weighted) - _mean(SHORT, group, weighted)).alias("hedge_return"))
     return kept.where("__n = 2").drop("__n")
 

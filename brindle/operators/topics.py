@@ -9,7 +9,10 @@ from .sentences import NOISE
 
 
 def term_counts(docs: DataFrame, topic_col: str = "topic", text_col: str = "text", pattern: str = "[^a-z]+", shortest: int = 2) -> DataFrame:
-    """(topic, token, n) over the texts of each topic but noise, without putting the texts together."""
+    """(topic, token, n) over the texts of each topic but noise, without putting the texts together.
+
+    Null topics, null and empty texts have no rows; repeated rows count each; an empty table gives no rows.
+    """
     kept = docs.where(F.col(topic_col).isNotNull() & (F.col(topic_col).cast("string") != str(NOISE)))
     words = kept.select(F.col(topic_col).alias("topic"), F.explode(F.split(F.lower(text_col), pattern)).alias("token"))
     return words.where(F.length("token") >= shortest).groupBy("topic", "token").agg(F.count("*").alias("n"))
@@ -45,6 +48,7 @@ def class_tfidf(counts: DataFrame, seeds: tuple[str, ...] = (), seed_multiplier:
     """(topic, token, n, score): share of the topic's tokens, its root if frequent ones are to be reduced, times idf.
 
     A token that a seed word is part of has its score multiplied. Tokens of which the idf isn't defined go.
+    counts has a row for each topic and token; an empty one gives no rows.
     """
     sizes = counts.groupBy("topic").agg(F.sum("n").alias("total"))
     mean = sizes.agg(F.floor(F.avg("total")).cast("double").alias("a"))
@@ -63,7 +67,10 @@ def top_tokens(scored: DataFrame, n: int = 5) -> DataFrame:
 
 
 def keyword_matrix(counts: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
-    """(topic, token, n, scaled): counts of the keywords that occur, and those scaled from 0 to 1 over the topics."""
+    """(topic, token, n, scaled): counts of the keywords that occur, and those scaled from 0 to 1 over the topics.
+
+    A keyword that all topics have equally often is scaled to 0. Where no keyword occurs there are no rows.
+    """
     kept = counts.where(F.col("token").isin(*keywords))
     grid = counts.select("topic").distinct().crossJoin(F.broadcast(kept.select("token").distinct()))  # no more rows than keywords
     filled = grid.join(kept, ["topic", "token"], "left").select("topic", "token", F.coalesce("n", F.lit(0)).alias("n"))
@@ -73,5 +80,5 @@ def keyword_matrix(counts: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
 
 
 def keyword_pivot(matrix: DataFrame, keywords: tuple[str, ...], value: str = "n") -> DataFrame:
-    """A row for each topic with a column for each keyword."""
+    """A row for each topic with a column for each keyword, null for one that occurs nowhere; an empty matrix gives no rows."""
     return matrix.groupBy("topic").pivot("token", list(keywords)).agg(F.first(value))
