@@ -203,7 +203,7 @@ def classify_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, "gbt", maxIter=10)
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with what lies in them, gaps among it, whether they are finished, and a part of them held out for stopping."""
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sum("l_quantity").cast("double").alias("quantity"), F.avg("l_discount").cast("double").alias("discount"), F.max(F.datediff("l_shipdate", F.lit("1992-01-01"))).cast("double").alias("shipped"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("target"), F.col("o_totalprice").cast("double").alias("price"))
@@ -212,23 +212,23 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.select("id", "target", "price", gap("quantity", 7), gap("discount", 5), gap("shipped", 3), (F.crc32(F.col("id").cast("string")) % 5 == 0).alias("held_out"))
 
 
-_COLUMNS = ["price", "quantity", "discount", "shipped"]
+_ORDER_COLUMNS = ["price", "quantity", "discount", "shipped"]
 
 
 @REGISTRY.add()
 def classify_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees that stop by held-out orders and leave gaps as gaps; a score for each order."""
-    rows = _parts(spark, sf_dir)
-    model = boosting.fit(rows, _COLUMNS, rounds=20, patience=3, rate=0.3)
+    rows = _orders(spark, sf_dir)
+    model = boosting.fit(rows, _ORDER_COLUMNS, rounds=20, patience=3, rate=0.3)
     return boosting.predict(rows, model).select("id", "target", "held_out", "prob", "y_pred")
 
 
 @REGISTRY.add()
 def tree_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each column moves the boosted trees' margins, over all orders."""
-    rows = _parts(spark, sf_dir)
-    model = boosting.fit(rows, _COLUMNS, rounds=8, patience=3, rate=0.3)
-    return trees.mean_contributions(rows, model.trees, _COLUMNS)
+    rows = _orders(spark, sf_dir)
+    model = boosting.fit(rows, _ORDER_COLUMNS, rounds=8, patience=3, rate=0.3)
+    return trees.mean_contributions(rows, model.trees, _ORDER_COLUMNS)
 
 
 # scored: an order with a score of its own and whether it is finished
