@@ -32,17 +32,23 @@ def holding_periods(rows: DataFrame, filings: DataFrame, shift: int = 0, wait: i
     return rows.join(known, ["ticker", "year"]).withColumn("start_date", start).withColumn("end_date", F.add_months(F.col("start_date"), months))
 
 
-def daily_returns(prices: DataFrame) -> DataFrame:
-    """prices with daily_return: from the ticker's last known price before, null for none or zero."""
+def ratio(x: Column, y: Column, by_zero: bool = False) -> Column:
+    """x / y as doubles; where y is zero null, or by_zero what floating-point numbers have: infinite, and NaN for 0 / 0."""
+    plain = F.try_divide(x, y)
+    return F.when(y == 0, x * F.pow(y, F.lit(-1.0))).otherwise(plain) if by_zero else plain
+
+
+def daily_returns(prices: DataFrame, by_zero: bool = False) -> DataFrame:
+    """prices with daily_return: from the ticker's last known price before, null for none; after a price of zero null, or by_zero infinite or NaN."""
     order = Window.partitionBy("ticker").orderBy("date")
     filled = prices.withColumn("__p", F.last("price", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return filled.withColumn("daily_return", F.try_divide("__p", F.lag("__p").over(order)) - 1).drop("__p")
+    return filled.withColumn("__b", F.lag("__p").over(order)).withColumn("daily_return", ratio(F.col("__p"), F.col("__b"), by_zero) - 1).drop("__p", "__b")
 
 
-def market_returns(index: DataFrame) -> DataFrame:
-    """(date, market_return) of an index (date, price): one row a day, so one window. Null after a null or zero price; an empty index gives no rows."""
+def market_returns(index: DataFrame, by_zero: bool = False) -> DataFrame:
+    """(date, market_return) of an index (date, price): one row a day, so one window. Null after a null price; after one of zero null, or by_zero infinite or NaN; an empty index gives no rows."""
     order = Window.orderBy("date")
-    return index.select("date", (F.try_divide("price", F.lag("price").over(order)) - 1).alias("market_return"))
+    return index.withColumn("__b", F.lag("price").over(order)).select("date", (ratio(F.col("price"), F.col("__b"), by_zero) - 1).alias("market_return"))
 
 
 def market_caps(metrics: DataFrame) -> DataFrame:
