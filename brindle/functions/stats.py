@@ -45,13 +45,15 @@ def t_two_sided(t: float, df: float) -> float:
 
 
 def with_welch_p(summary: DataFrame) -> DataFrame:
-    """A summary with t and df, with their two-sided p."""
+    """A summary with t and df, with their two-sided p; null where one of them is, NaN where one is NaN."""
 
     def p(t: pd.Series, df: pd.Series) -> pd.Series:
         return pd.Series([None if pd.isna(a) or pd.isna(b) else t_two_sided(a, b) for a, b in zip(t, df, strict=True)], dtype=float)
 
     p.__annotations__ = {"t": pd.Series, "df": pd.Series, "return": pd.Series}
-    return summary.withColumn("p", F.pandas_udf(p, "double")(F.col("t"), F.col("df")))
+    # pandas takes NaN for null
+    lost = F.isnan("t") | F.isnan("df")
+    return summary.withColumn("p", F.when(F.col("t").isNotNull() & F.col("df").isNotNull() & lost, F.lit(float("nan"))).otherwise(F.pandas_udf(p, "double")(F.col("t"), F.col("df"))))
 
 
 def confusion(rows: DataFrame, predicted: Column, actual: Column) -> DataFrame:
