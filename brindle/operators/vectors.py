@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .ranks import ranked
 
 
@@ -120,11 +121,126 @@ def _top(a: np.ndarray, ids: np.ndarray, b: np.ndarray, others_ids: np.ndarray,
     return tuple(np.concatenate(p) for p in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
+#: Rows of a cell where few dimensions are cut into cells, the most dimensions for that, and the rows that the cuts are made from.
+CELL_ROWS, CELL_DIMENSIONS, CUT_ROWS = 512, 8, 100_000
+
+
+class Cells:
+    """Boxes that cut a space into parts of about equal numbers of rows: each box is halved at the median of its widest dimension."""
+
+    def __init__(self, rows: np.ndarray, count: int):
+        self.dim, self.at, self.next, self.leaves = [], [], [], 0
+        self._cut(rows, max(1, count))
+
+    def _cut(self, rows: np.ndarray, count: int) -> int:
+        node = len(self.dim)
+        self.dim.append(-1), self.at.append(0.0), self.next.append((self.leaves, -1))
+        wide = np.ptp(rows, axis=0) if len(rows) else np.zeros(1)
+        if count < 2 or wide.max() <= 0:
+            self.leaves += 1
+            return node
+        dim = int(wide.argmax())
+        at = float(np.median(rows[:, dim]))
+        if not (rows[:, dim] < at).any():  # the median is the least value
+            at = float(rows[rows[:, dim] > at, dim].min())
+        below = rows[:, dim] < at
+        self.dim[node], self.at[node] = dim, at
+        self.next[node] = (self._cut(rows[below], count // 2), self._cut(rows[~below], count - count // 2))
+        return node
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        """The number of each row's cell."""
+        out, ahead = np.zeros(len(rows), np.int64), [(0, np.arange(len(rows)))]
+        while ahead:
+            node, own = ahead.pop()
+            if not len(own):
+                continue
+            if self.dim[node] < 0:
+                out[own] = self.next[node][0]
+                continue
+            below = rows[own, self.dim[node]] < self.at[node]
+            ahead += [(self.next[node][0], own[below]), (self.next[node][1], own[~below])]
+        return out
+
+    def within(self, rows: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the cells that have a place at the squared distance `far` of each row, or nearer."""
+        found, ahead = [], [(0, np.arange(len(rows)), np.zeros(rows.shape))]
+        while ahead:
+            node, own, gap = ahead.pop()  # gap: how far a row is from the box in each dimension
+            if not len(own):
+                continue
+            if self.dim[node] < 0:
+                found.append((own, np.full(len(own), self.next[node][0])))
+                continue
+            dim, off = self.dim[node], rows[own, self.dim[node]] - self.at[node]
+            for side, beyond in ((0, np.maximum(off, 0)), (1, np.maximum(-off, 0))):
+                more = gap.copy()
+                more[:, dim] = np.maximum(more[:, dim], beyond)
+                fit = (more**2).sum(axis=1) <= far[own]
+                ahead.append((self.next[node][side], own[fit], more[fit]))
+        return tuple(np.concatenate(p) for p in zip(*found, strict=True))
+
+
+def _nearest_in_cells(left: DataFrame, right: DataFrame, k: int, others: bool) -> DataFrame:
+    """nearest by euclidean distance in few dimensions: no row meets rows of cells that are farther than k rows of its own cell.
+
+    Of equal vectors only the k first ids can be neighbours, and all that are equal ask once; so copies don't make cells large.
+    """
+    most = k + others  # a row itself is left out at the end
+    left, right = (df.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")) for df in (left, right))
+    kept = cut(right.withColumn("__n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("__n") <= most).drop("__n"))
+    n = kept.count()
+    some = kept.orderBy(F.xxhash64("id"), "id").limit(CUT_ROWS).toPandas()  # the cuts alone are made from these; all rows are dealt
+    sample = np.stack(some["v"].to_list())
+    held = left.sparkSession.sparkContext.broadcast((Cells(sample, min(n // CELL_ROWS, len(sample) // 8)), sample))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(cell=held.value[0].of(np.stack(batch["v"].to_list())))
+
+    def to_ask(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        """The cells in which each row's neighbours may be: as near as `most` rows of its own cell, or of the sample."""
+        if one.empty:
+            return pd.DataFrame({"id": one["id"], "v": one["v"], "cell": one["cell"]})
+        cells, sample = held.value
+        x, y = np.stack(one["v"].to_list()), np.stack(two["v"].to_list()) if len(two) >= most else sample
+        if len(y) < most:
+            far = np.full(len(x), np.inf)
+        else:
+            row, _, d = _top(x, np.zeros(len(x)), y, np.zeros(len(y)), most, "euclidean", False)
+            far = np.full(len(x), -np.inf)
+            np.maximum.at(far, row, d)
+            far = far * (1 + 1e-9) + 2e-12  # distances are compared after rounding
+            far[np.bincount(row, minlength=len(x)) < most] = np.inf
+        row, cell = cells.within(x, far)
+        return pd.DataFrame({"id": one["id"].to_numpy()[row], "v": one["v"].to_numpy()[row], "cell": cell})
+
+    def ask(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if one.empty or two.empty:
+            return pd.DataFrame({"c": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "distance": pd.Series(dtype=float)})
+        two = two.sort_values("id", kind="stable")
+        ids, other = one["id"].to_numpy(np.int64), two["id"].to_numpy(np.int64)
+        x, y, d = _top(np.stack(one["v"].to_list()), ids, np.stack(two["v"].to_list()), other, most, "euclidean", False)
+        return pd.DataFrame({"c": ids[x], "neighbour": other[y], "distance": d})
+
+    schema = "id long, v array<double>, cell long"
+    first = cut(left.groupBy("v").agg(F.min("id").alias("c")))
+    asking = first.select(F.col("c").alias("id"), "v").mapInPandas(deal, schema)
+    placed = kept.mapInPandas(deal, schema)
+    asked = asking.groupBy("cell").cogroup(placed.groupBy("cell")).applyInPandas(to_ask, schema)
+    found = asked.groupBy("cell").cogroup(placed.groupBy("cell")).applyInPandas(ask, "c long, neighbour long, distance double")
+    best = found.withColumn("__n", F.row_number().over(Window.partitionBy("c").orderBy(F.round("distance", 12), "neighbour"))).where(F.col("__n") <= most).drop("__n")
+    each = left.join(first, "v").select(F.col("id").alias("q"), "c").join(best, "c")
+    return (each.where("neighbour <> q") if others else each).select("q", "neighbour", "distance")
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int, metric: str = "cosine", others: bool = False) -> DataFrame:
     """(q, rank, neighbour, distance): the k rows (id, v) of right at the least cosine, or squared euclidean, distance to each of left; ties by id.
 
     Exact. others: rows of a row's own id don't count. A right side of at most MOST_SENT numbers is sent to all executors, so that left is only read;
-    of a larger one pairs of blocks are tasks that return the k best of each row, and these are merged.
+    of a larger one pairs of blocks are tasks that return the k best of each row, and these are merged. In up to CELL_DIMENSIONS dimensions euclidean
+    neighbours are looked for in cells of space, in time that hardly grows faster than the rows, and equal vectors ask once.
     Rows of a null id take no part, nor do vectors that are null, not finite or of another length than right's commonest. A zero vector has the cosine distance 1.
     """
     dimension = commonest_size(right) or 0
@@ -137,7 +253,9 @@ def nearest(left: DataFrame, right: DataFrame, k: int, metric: str = "cosine", o
         return pd.DataFrame({"q": ids[x], "neighbour": other[y], "distance": d})
 
     empty = pd.DataFrame({"q": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "distance": pd.Series(dtype=float)})
-    if (size["m"] or 0) <= MOST_SENT:
+    if metric == "euclidean" and dimension <= CELL_DIMENSIONS and size["n"] > 8 * CELL_ROWS:
+        some = _nearest_in_cells(left, right, k, others)
+    elif (size["m"] or 0) <= MOST_SENT:
         sent = right.select("id", F.col("v").cast("array<double>").alias("v")).orderBy("id").toPandas()  # bounded by MOST_SENT
         held = left.sparkSession.sparkContext.broadcast((sent["id"].to_numpy(np.int64), np.stack(sent["v"].to_list()) if len(sent) else None))
 
