@@ -288,6 +288,23 @@ def nearest_labelled(vectors: DataFrame, labelled: DataFrame, k: int = 2, id_col
     return found.join(said, "neighbour").select(F.col("q").alias(id_col), "rank", "neighbour", F.col("__p").alias(payload), "distance")
 
 
+def euclidean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of x to all of y: by one product of matrices, and by differences where a pair is so near that the product would lose its digits."""
+    middle = y.mean(axis=0)
+    x, y = x - middle, y - middle
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    far = x @ y.T
+    far *= -2
+    far += xx[:, None]
+    far += yy
+    top = yy.max(initial=0.0)
+    i, j = np.nonzero(far <= 1e-4 * (xx[:, None] + top))
+    for a in range(0, len(i), 100_000):
+        some = slice(a, a + 100_000)
+        far[i[some], j[some]] = ((x[i[some]] - y[j[some]]) ** 2).sum(axis=1)
+    return np.sqrt(far, out=far)
+
+
 def silhouettes(vectors: DataFrame, folds: int = 20, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", metric: str = "euclidean", block_rows: int = 8192) -> DataFrame:
     """(id, label, fold, silhouette): computed inside folds that are stratified by label.
 
@@ -318,8 +335,7 @@ def silhouettes(vectors: DataFrame, folds: int = 20, id_col: str = "vec_id", lab
         member, step, sums = np.eye(len(names))[code], max(1, 4_000_000 // len(y)), []
         for a in range(0, len(x), step):
             z = x[a : a + step]
-            far = 1 - z @ y.T if metric == "cosine" else np.sqrt(sum(((z[:, None, i] - y[None, :, i]) ** 2 for i in range(1, z.shape[1])), (z[:, None, 0] - y[None, :, 0]) ** 2))
-            sums.append(far @ member)
+            sums.append((1 - z @ y.T if metric == "cosine" else euclidean(z, y)) @ member)
         m = len(names)
         return pd.DataFrame({"id": np.repeat(left["id"].to_numpy(), m), "lab": np.repeat(left["lab"].to_numpy(), m), "fold": np.repeat(left["fold"].to_numpy(), m), "of": np.tile(names, len(x)), "total": np.concatenate(sums).ravel()})
 
