@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .sentences import NOISE
 
 
@@ -30,12 +31,15 @@ def ngram_counts(docs: DataFrame, topic_col: str = "topic", text_col: str = "tex
         raise ValueError("lengths are from 1, the shorter first")
     kept = docs.where(F.col(topic_col).isNotNull() & (F.col(topic_col).cast("string") != str(NOISE)))
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), pattern), lambda w: F.length(w) >= shortest)
-    run = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-    # the outer lambda binds the words, once
-    runs = kept.select(F.col(topic_col).alias("topic"), F.monotonically_increasing_id().alias("d"), F.transform(F.array(words), lambda w: F.concat(*(run(w, n) for n in range(low, high + 1))))[0].alias("t"))
-    # a row for each document and token of its own, with how often it has it
-    each = runs.select("topic", "d", F.explode("t").alias("token")).groupBy("topic", "d", "token").agg(F.count("*").alias("n"))
-    counted = each.groupBy("topic", "token").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
+    # words are looked up by their place: a slice for each run would copy all of a text's words each time
+    run = lambda w, n: F.transform(F.slice(w, 1, F.greatest(F.size(w) - (n - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", x, *(F.get(w, i + j) for j in range(1, n))))
+    # in order, so that a token's first place in the document is told without a shuffle; the outer lambdas bind the words and the tokens, once
+    runs = F.transform(F.array(words), lambda w: F.sort_array(F.concat(*(run(w, n) for n in range(low, high + 1)))))
+    marked = F.transform(runs, lambda s: F.transform(s, lambda x, i: F.struct(x.alias("token"), F.when((i > 0) & (F.get(s, i - 1) == x), 0).otherwise(1).alias("new"))))[0]
+    # outer, as for an inner one Spark would make all arrays once more, to filter empty ones
+    each = kept.select(F.col(topic_col).alias("topic"), F.explode_outer(marked).alias("t")).where("t is not null").select("topic", "t.*")
+    # used twice, of different columns, so that Spark would count twice
+    counted = cut(each.groupBy("topic", "token").agg(F.count("*").alias("n"), F.sum("new").alias("df")))
     whole = counted.groupBy("token").agg(F.sum("n").alias("all"), F.sum("df").alias("df"))
     total = F.broadcast(kept.agg(F.count("*").alias("docs")))  # one row
     good = whole.crossJoin(total).where((F.col("df") >= F.lit(least) * F.col("docs")) & (F.col("df") <= F.lit(most) * F.col("docs")))
