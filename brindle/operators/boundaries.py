@@ -69,7 +69,10 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     last = lambda w: F.substring(w, -1, 1).isin(*".!?\"')]")
     before = lambda i: F.get(F.col("__w"), i - 1)
     pairs = F.transform(F.col("__w"), lambda w, i: F.struct(F.when(i == 0, F.lit("")).when(last(before(i)), before(i)).alias("ahead"), w.alias("word")))
-    return docs.select(words.alias("__w")).select(F.explode(pairs).alias("p")).groupBy("p.ahead", "p.word").agg(F.count("*").alias("n")).where(core(F.col("word")) != "")
+    # outer, as for an inner one Spark would make all arrays once more, to filter empty ones
+    seen = docs.select(words.alias("__w")).select(F.explode_outer(pairs).alias("p")).where("p is not null")
+    # a condition on the count as well stays behind it: else the core is told of each word's place, not once of each pair
+    return seen.groupBy("p.ahead", "p.word").agg(F.count("*").alias("n")).where(F.when(F.col("n") > 0, core(F.col("word"))) != "")
 
 
 def _log_likelihood(both: Column, a: Column, b: Column, n: Column) -> Column:
@@ -145,8 +148,10 @@ def split_learnt(docs: DataFrame, learnt: Learnt, id_col: str = "doc_id", text_c
     """
     rest = [c for c in docs.columns if c != text_col]
     marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("__rest"), F.monotonically_increasing_id().alias("__row"), F.split(F.regexp_replace(F.col(f"`{text_col}`"), END, "$1$2\u0000"), "\u0000").alias("__p"))
-    pieces = marked.select("__rest", "__row", F.posexplode(F.transform("__p", lambda p, i: F.struct(p.alias("piece"), F.get(F.col("__p"), i + 1).alias("after")))).alias("__at", "__x")).select("__rest", "__row", "__at", "__x.*")
-    last, first = F.regexp_extract("piece", r"([^ \t\n\x0B\f\r]+)[ \t\n\x0B\f\r]*$", 1), F.regexp_extract("after", r"^([^ \t\n\x0B\f\r]+)", 1)
+    # outer, as for an inner one Spark would cut all texts once more, to filter empty ones
+    pieces = marked.select("__rest", "__row", F.posexplode_outer(F.transform("__p", lambda p, i: F.struct(p.alias("piece"), F.get(F.col("__p"), i + 1).alias("after")))).alias("__at", "__x")).where("__x is not null").select("__rest", "__row", "__at", "__x.*")
+    # from the end, so that only the last word is looked at
+    last, first = F.reverse(F.regexp_extract(F.reverse("piece"), r"^[ \t\n\x0B\f\r]*([^ \t\n\x0B\f\r]+)", 1)), F.regexp_extract("after", r"^([^ \t\n\x0B\f\r]+)", 1)
     told = pieces.select("__rest", "__row", "__at", "piece", type_of(last).alias("__t"), stopped(last).alias("__stop"), type_of(first).alias("__n"), core(first).rlike(r"^\p{Lu}").alias("__upper"))
     short = _sized(learnt.abbreviations.select(F.col("type").alias("__t"), F.lit(True).alias("__short")))
     seen = _sized(learnt.openers.where("opens or lower").select(F.col("type").alias("__n"), "opens", "lower", "inside"))
