@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,9 +71,14 @@ def keyword_topics(found: DataFrame, text: str = "sentence", keywords: tuple[tup
     blacklist: parts of words that are no keywords whatever they hold: they are taken out before keywords are looked for. exclusions: words by
     topic that rule the topic out. Both lists are the caller's, as a table of their own may hold them. Null texts have null topics.
     """
-    lower = F.lower(F.col(text))
-    seen = F.regexp_replace(lower, "|".join(f"\\Q{w.lower()}\\E" for w in sorted(blacklist, key=lambda w: (-len(w), w))), "") if blacklist else lower
-    holds = lambda of, words: of.rlike("|".join(f"\\Q{w.lower()}\\E" for w in words))
+    holds = lambda of, words: reduce(lambda x, y: x | y, (F.contains(of, F.lit(w.lower())) for w in words), F.lit(False))
     out = exclusions or {}
-    hits = F.array(*(F.when(holds(seen, words) & (~holds(lower, out[i]) if out.get(i) else F.lit(True)), F.lit(i)) for i, words in enumerate(keywords)))
-    return found.withColumn("topics", F.when(F.col(text).isNotNull(), F.filter(hits, lambda x: x.isNotNull())))
+    gone = "|".join(f"\\Q{w.lower()}\\E" for w in sorted(blacklist, key=lambda w: (-len(w), w)))
+    without = lambda t: F.when(holds(t, blacklist), F.regexp_replace(t, gone, "")).otherwise(t) if blacklist else t
+
+    def hits(lower: Column, seen: Column) -> Column:
+        return F.array(*(F.when(holds(seen, words) & (~holds(lower, out[i]) if out.get(i) else F.lit(True)), F.lit(i)) for i, words in enumerate(keywords)))
+
+    # the lambdas bind the lower-cased text and what is seen of it, once; else each topic makes them anew
+    told = F.transform(F.array(F.lower(F.col(text))), lambda t: F.transform(F.array(without(t)), lambda seen: hits(t, seen))[0])[0]
+    return found.withColumn("topics", F.when(F.col(text).isNotNull(), F.filter(told, lambda x: x.isNotNull())))
