@@ -123,3 +123,28 @@ def test_lines_of_any_letters_have_keys(spark):
     got = firsts(spark, lines)
     assert [i for i in range(0, len(lines), 2) if got[i] != got[i + 1]] == []
     assert len(set(got.values())) == len(lines) // 2
+
+
+@pytest.mark.parametrize(("each", "hot"), [(128, (1 << 20, 1 << 14)), (8, (1 << 20, 1 << 14)), (128, (8, 4))], ids=["by pairs", "joined", "divided"])
+def test_no_alike_line_of_a_group_is_missed(spark, each, hot, monkeypatch):
+    """Twins on a prefix that all lines share: whichever lines have a key in common and are alike are of one component."""
+    monkeypatch.setattr(line_dedup, "EACH", each)
+    monkeypatch.setattr(line_dedup, "HOT", hot[0])
+    monkeypatch.setattr(line_dedup, "HOT_LEAST", hot[1])
+    rng = random.Random(18)
+    own = lambda k: "".join(rng.choices("abcdefghijklmnop ", k=k))
+    prefix, lines = own(340), []
+    for _ in range(200):
+        end = own(57)
+        lines += [f"{prefix}|{end}|x", f"{prefix[:50]}#{prefix[51:]}|{end[:30]}#{end[31:]}|x"]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    keys = {}
+    for r in line_dedup._banded(line_dedup.signatures(line_dedup.numbered_lines(df))).collect():
+        keys.setdefault(r["key"], set()).add(r["h1"])
+    number = {r["h1"]: r["doc_id"] for r in line_dedup.numbered_lines(df).collect()}
+    near = {(a, b) for of in keys.values() for a in map(number.get, of) for b in map(number.get, of) if a < b}
+    alike = [(a, b) for a, b in near if jaccard(lines[a], lines[b]) >= 0.8]
+    got = firsts(spark, lines)
+    assert len(alike) > 190 and len(near) > 20 * len(lines)
+    assert [(a, b) for a, b in alike if got[a] != got[b]] == []
+    assert len(set(got.values())) > 150
