@@ -268,6 +268,23 @@ def test_query_is_brute_force(spark):
     assert got == want
 
 
+def test_groups_of_a_host_count_as_one(spark):
+    """Runs around the shares that matter, on the host's pages but not on each group's; copies of pages lie in other tasks."""
+    rng = random.Random(20)
+    menus = [(" ".join(f"m{k}x{i}" for i in range(12)), share) for k, share in enumerate((0.9, 0.72, 0.35, 0.28, 0.08, 0.055, 0.045, 0.02))]
+    rows = []
+    for i in range(240):
+        body = "".join(f"<div>{m}</div>" for m, share in menus if rng.random() < share) + f"<p>{' '.join(rng.choices('abcdefghijklm', k=rng.randint(0, 20)))}</p>"
+        rows += [(i, f"http://made{i % 12 == 0:d}.org/{i}", (f"<article>{body}</article>", f"<main>{body}</main>", body)[i % 3])] * (1 + i % 40 if i % 8 == 0 else 1)
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    hosts = {}
+    for i, url, h in rows:
+        hosts.setdefault(url.split("/")[2], []).append((i, page_text.blocks(h)))
+    want = sorted((i, t) for own in hosts.values() for (i, _), t in zip(own, plain_text([b for _, b in own]), strict=True))
+    assert sorted((r["page_id"], r["text"]) for r in page_text.extract_text(df, group=24).collect()) == want
+
+
 def test_copies_of_an_article_lose_the_menus(spark):
     rng = random.Random(19)
     menu = " ".join(f"menu{i}" for i in range(12))
